@@ -21,32 +21,48 @@ KEYS = ["host", "metric", "shard"]
 
 
 def _sharded(readings: DataFrame) -> DataFrame:
-    """Readings once each, cut into time shards with a halo on both sides, partitioned by (host, metric, shard)."""
+    """Readings once each, cut into time shards with a halo on both sides, partitioned by (host, metric, shard).
+
+    The repeats go by grouping on all columns: so the branches that follow all need the same columns and share the one shuffle.
+    """
     length = F.col("interval_ms") * SHARD_INTERVALS
     # what decides on a reading lies at most NEAR + SPIKE readings off within one course, so this much time
     halo = F.col("interval_ms") * SILENCE * (NEAR + SPIKE + 1)
     home = F.floor(F.col("tp_ms") / length).cast("bigint")
     into = F.pmod(F.col("tp_ms"), length)
     at = lambda d: F.struct((home + d).alias("shard"), F.lit(d == 0).alias("own"))
-    places = F.concat(F.array(at(0)), F.when(into < halo, F.array(at(-1))).otherwise(F.array().cast("array<struct<shard:bigint,own:boolean>>")), F.when(length - into <= halo, F.array(at(1))).otherwise(F.array().cast("array<struct<shard:bigint,own:boolean>>")))
-    r = readings.where("host is not null and metric is not null and tp_ms is not null and v is not null and not isnan(v) and interval_ms >= 1")
-    r = r.select("element_id", "host", "metric", "tp_ms", "v", "interval_ms", "nature", "lo", "hi", F.explode(places).alias("at")).select("*", "at.shard", "at.own").drop("at")
-    return r.repartition(*KEYS).dropDuplicates([*KEYS, "element_id"])
+    places = F.when(into < halo, F.array(at(0), at(-1))).when(length - into <= halo, F.array(at(0), at(1))).otherwise(F.array(at(0)))
+    r = readings.where("nature in ('gauge', 'level') and element_id is not null and host is not null and metric is not null and tp_ms is not null and v is not null and not isnan(v) and interval_ms >= 1")
+    outside = F.coalesce((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.col("v") < F.col("lo"), F.col("v") > F.col("hi"), F.lit(False))
+    r = r.select("element_id", "host", "metric", "tp_ms", "v", "interval_ms", (F.col("nature") == "level").alias("level"), outside.alias("outside"), F.explode(places).alias("at"))
+    r = r.select("element_id", "tp_ms", "v", "interval_ms", "level", "outside", "host", "metric", "at.shard", "at.own")
+    return r.repartition(*KEYS).distinct()
 
 
 def _courses(r: DataFrame) -> DataFrame:
-    """Adds course (number of the stretch without silence) and change (from the reading before in it)."""
+    """Adds course (number of the stretch without silence) and change (from the reading before in it; of possible readings only)."""
     w = Window.partitionBy(*KEYS).orderBy("tp_ms", "element_id")
-    r = r.withColumn("quiet", F.col("tp_ms") - F.lag("tp_ms").over(w) > F.col("interval_ms") * SILENCE)
+    r = r.withColumn("quiet", F.col("tp_ms") - F.lag("tp_ms").over(w) > F.col("interval_ms") * SILENCE).withColumn("from", F.when(~F.lag("outside").over(w), F.lag("v").over(w)))
     r = r.withColumn("course", F.sum(F.when(F.col("quiet"), 1).otherwise(0)).over(w))
-    return r.withColumn("change", F.when(~F.col("quiet"), F.col("v") - F.lag("v").over(w)))
+    return r.withColumn("change", F.when(~F.col("quiet") & ~F.col("outside"), F.col("v") - F.col("from"))).drop("quiet", "from")
+
+
+def _runs(r: DataFrame) -> DataFrame:
+    """Adds the runs of equal values of gauges: run (number in the shard), n (its own readings), and whether it has the shard's first or last own reading."""
+    w = Window.partitionBy(*KEYS).orderBy("tp_ms", "element_id")
+    new = F.lag("v").over(w).isNull() | (F.col("v") != F.lag("v").over(w))
+    r = r.withColumn("new", new).withColumn("run", F.sum(F.when(F.col("new"), 1).otherwise(0)).over(w))
+    own = F.when(F.col("own"), F.col("run"))
+    whole = Window.partitionBy(*KEYS)
+    r = r.withColumn("edge", (F.col("run") == F.min(own).over(whole)) | (F.col("run") == F.max(own).over(whole)))
+    return r.withColumn("n", F.sum(F.col("own").cast("int")).over(Window.partitionBy(*KEYS, "run")))
 
 
 def scatter_sketches(r: DataFrame) -> DataFrame:
     """Quantile sketches of the changes per (host, metric, shard, hour of the day), built where the rows lie; they merge over shards and hours."""
     finite = F.col("own") & (F.col("change") != 0) & (F.abs("change") < float("inf"))
     hour = F.pmod(F.floor(F.col("tp_ms") / F.lit(3_600_000)), F.lit(24)).cast("int")
-    return r.where(finite).groupBy(*KEYS, hour.alias("hour")).agg(F.kll_sketch_agg_double("change", F.lit(SKETCH_K)).alias("sketch"), F.first("nature").alias("nature"), F.count("*").alias("n"))
+    return r.where(finite).groupBy(*KEYS, hour.alias("hour")).agg(F.kll_sketch_agg_double("change", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.count("*").alias("n"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
@@ -55,89 +71,95 @@ def fences(sketches: DataFrame) -> DataFrame:
     A source's sketch is merged from those of its shards and hours, so partial sketches of files or days combine the same way.
     """
     q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
-    spread = lambda s: F.when(F.col("nature") == "level", q(s, 0.95) - q(s, 0.05)).otherwise(q(s, 0.75) - q(s, 0.25)) / 2
-    hours = sketches.groupBy("host", "metric", "hour").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.first("nature").alias("nature"), F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
+    spread = lambda s: F.when(F.col("level"), q(s, 0.95) - q(s, 0.05)).otherwise(q(s, 0.75) - q(s, 0.25)) / 2
+    hours = sketches.groupBy("host", "metric", "hour").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.sum("n").alias("n"))
     own = F.when(F.col("n") >= HOUR_ROWS, F.struct("hour", spread(F.col("sketch")).alias("scatter")))
-    source = hours.groupBy("host", "metric").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.first("nature").alias("nature"), F.collect_list(own).alias("by_hour"))
+    source = hours.groupBy("host", "metric").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.collect_list(own).alias("by_hour"))
     source = source.select("host", "metric", spread(F.col("sketch")).alias("scatter"), "by_hour")
     return sketches.select(*KEYS).distinct().join(source, ["host", "metric"])
 
 
-def _median(xs: list[Column]) -> Column:
-    a = F.array_sort(F.filter(F.array(*xs), lambda x: x.isNotNull()))
-    n = F.size(a)
-    mid = F.floor((n - 1) / F.lit(2)).cast("int")
-    return F.when(n == 0, None).when(n % 2 == 1, F.get(a, mid)).otherwise((F.get(a, mid) + F.get(a, mid + 1)) / 2)
+def _median(near: Column, mid: Column, far: Column) -> Column:
+    """Median of the one to three readings next to a group; those further off are null where the course ends."""
+    three = F.greatest(F.least(near, mid), F.least(F.greatest(near, mid), far))
+    return F.when(far.isNotNull(), three).when(mid.isNotNull(), (near + mid) / 2).otherwise(near)
 
 
-def _stuck(r: DataFrame) -> DataFrame:
-    """element_id of the readings of stuck stretches: runs of equal values inside a shard, and runs that go on over shards.
-
-    The first and the last run of each shard are summed up to two rows a shard; those rows alone are joined up over the shards.
-    """
-    own = r.where(F.col("own") & (F.col("nature") == "gauge")).select("element_id", *KEYS, "tp_ms", "v")
-    w = Window.partitionBy(*KEYS).orderBy("tp_ms", "element_id")
-    new = F.lag("v").over(w).isNull() | (F.col("v") != F.lag("v").over(w))
-    own = own.withColumn("new", new).withColumn("run", F.sum(F.when(F.col("new"), 1).otherwise(0)).over(w))
-    own = own.withColumn("n", F.count("*").over(Window.partitionBy(*KEYS, "run"))).withColumn("last", F.max("run").over(Window.partitionBy(*KEYS)))
-    # without lag: equal values at the first reading of a shard and the last of the one before
-    ends = own.where("new and (run = 1 or run = last)").select(*KEYS, "run", "v", "n")
+def _long_ends(r: DataFrame) -> DataFrame:
+    """(host, metric, shard) and its runs at the shard's edges that together with those of the neighbouring shards are stuck: at most two rows a shard are joined up."""
+    ends = r.where("own and edge and not level and n > 0").groupBy(*KEYS, "run").agg(F.first("v").alias("v"), F.first("n").alias("n"))
     s = Window.partitionBy("host", "metric").orderBy("shard", "run")
     joined = (F.lag("shard").over(s) < F.col("shard")) & (F.lag("v").over(s) == F.col("v"))
     ends = ends.withColumn("chain", F.sum(F.when(joined, 0).otherwise(1)).over(s))
     ends = ends.withColumn("whole", F.sum("n").over(Window.partitionBy("host", "metric", "chain"))).where((F.col("whole") >= STUCK) & (F.col("whole") > F.col("n")))
-    ends = ends.groupBy(*KEYS).agg(F.collect_set("run").alias("runs"))
-    return own.join(ends, KEYS, "left").where((F.col("n") >= STUCK) | F.coalesce(F.array_contains("runs", F.col("run")), F.lit(False))).select("element_id")
+    return ends.groupBy(*KEYS).agg(F.collect_set("run").alias("stuck_runs"))
+
+
+#: Groups that a reading may belong to: its place in the group and the group's size.
+GROUPS = [(o, n) for n in range(1, SPIKE + 1) for o in range(n)]
 
 
-def _spiked(r: DataFrame, limits: DataFrame) -> DataFrame:
-    """Readings that lie in a group of at most SPIKE readings outside the fences around the course nearby, with a return to the course."""
+def _beside(r: DataFrame) -> DataFrame:
+    """Adds the readings around each (x-2..x2) and the courses before and after the groups it may belong to (b0..b2, f0..f2), own rows only."""
     w = Window.partitionBy(*KEYS, "course").orderBy("tp_ms", "element_id")
-    v = {0: F.col("v")} | {d: F.lag("v", -d).over(w) if d < 0 else F.lead("v", d).over(w) for d in range(-SPIKE + 1 - NEAR, SPIKE + NEAR) if d}
-    wide = r.select("element_id", *KEYS, "own", "tp_ms", *[c.alias(f"v{i}") for i, (d, c) in enumerate(sorted(v.items()))]).where("own")
-    at = {d: F.col(f"v{i}") for i, d in enumerate(sorted(v))}
-    # medians before the groups that begin at -2, -1, 0 and after those that end at 0, 1, 2
+    reach = SPIKE - 1 + NEAR
+    wide = r.withColumns({f"x{d}": F.lag("v", -d).over(w) if d < 0 else F.lead("v", d).over(w) for d in range(-reach, reach + 1) if d}).where("own").withColumn("x0", F.col("v"))
+    x = {d: F.col(f"x{d}") for d in range(-reach, reach + 1)}
     for o in range(SPIKE):
-        wide = wide.withColumn(f"b{o}", _median([at[-o - j] for j in range(1, NEAR + 1)])).withColumn(f"f{o}", _median([at[o + j] for j in range(1, NEAR + 1)]))
-    # only readings that leave both sides can be cases: most rows end here, before the join
-    off = F.lit(False)
-    groups = [(o, n) for n in range(1, SPIKE + 1) for o in range(n)]
-    for o, n in groups:
+        wide = wide.withColumn(f"b{o}", _median(*[x[-o - j] for j in range(1, NEAR + 1)])).withColumn(f"f{o}", _median(*[x[o + j] for j in range(1, NEAR + 1)]))
+    return wide
+
+
+def _may_spike() -> Column:
+    """Whether a reading is further from the course on both sides than they are from each other, in some group: needed of any spike, whatever the fences."""
+    may = F.lit(False)
+    for o, n in GROUPS:
         b, f = F.col(f"b{o}"), F.col(f"f{n - 1 - o}")
-        off = off | ((at[0] > F.greatest(b, f)) | (at[0] < F.least(b, f)))
-    wide = wide.where(off).join(limits, KEYS)
+        gap = F.abs(b - f)
+        may = may | F.coalesce((F.abs(F.col("x0") - b) > gap) & (F.abs(F.col("x0") - f) > gap), F.lit(False))
+    return may
+
+
+def _spiked() -> tuple[Column, Column]:
+    """How far from its course a reading may be, and whether it is a spike by that."""
     hour = F.pmod(F.floor(F.col("tp_ms") / F.lit(3_600_000)), F.lit(24)).cast("int")
     here = F.get(F.filter("by_hour", lambda x: x.hour == hour), F.lit(0)).scatter
     far = F.greatest(F.col("scatter"), here) * FENCE
     case = F.lit(False)
-    for o, n in groups:
+    for o, n in GROUPS:
         b, f = F.col(f"b{o}"), F.col(f"f{n - 1 - o}")
         course = (b + f) / 2
         # fences around the course, and a rate of change that neither neighbour explains
-        out = (F.abs(b - f) <= far) & b.isNotNull() & f.isNotNull()
+        out = F.abs(b - f) <= F.col("far")
         for d in range(-o, n - o):
-            out = out & (F.abs(at[d] - course) > far) & (F.abs(at[d] - b) > far) & (F.abs(at[d] - f) > far)
+            x = F.col(f"x{d}")
+            out = out & (F.abs(x - course) > F.col("far")) & (F.abs(x - b) > F.col("far")) & (F.abs(x - f) > F.col("far"))
         case = case | F.coalesce(out, F.lit(False))
-    return wide.where(case).select("element_id")
+    return far, case
 
 
 def implausible(readings: DataFrame) -> DataFrame:
     """Flags implausible readings of gauge and level metrics: element_id and reason, once each.
 
     readings: element_id, host, metric, tp_ms, v with nature, lo, hi and interval_ms of the metric. Reasons:
-    'impossible' outside lo..hi (null: no bound); 'stuck' one of at least STUCK successive equal readings of a gauge;
-    'spike' one of at most SPIKE successive readings beyond the source's fences that come back at once.
+    'impossible' outside lo..hi (null: no bound); else 'stuck' one of at least STUCK successive equal readings of a gauge;
+    else 'spike' one of at most SPIKE successive readings beyond the source's fences that come back at once.
 
     Method: each source's changes go into quantile sketches by hour of the day, built per shard and merged; the expanded
     interquartile fences stand around the course nearby (medians of NEAR readings before and after within the same course).
     A source whose values never change has no fences: only the bounds and the stuck rule apply to it.
     Readings lie in time shards of bounded length with a halo, so a hot source is spread; rows move once, and only sketches,
-    fences and the ends of equal runs move besides. Rows with a null host, metric, time, value or interval are left out, NaN too; infinite
-    values take part and are never a source's normal. Of equal times the order is by element_id; a repeated element_id counts once.
+    fences and the ends of equal runs move besides. Rows with a null id, host, metric, time, value or interval are left out, NaN too; infinite
+    values take part and are never a source's normal. Of equal times the order is by element_id; redelivered rows, equal in all columns, count once.
     """
-    rows = _courses(_sharded(readings.where("nature in ('gauge', 'level')")))
-    limits = fences(scatter_sketches(rows))
-    outside = readings.where("nature in ('gauge', 'level') and host is not null and metric is not null and tp_ms is not null and not isnan(v) and (v < lo or v > hi)")
-    found = outside.select("element_id", F.lit("impossible").alias("reason"))
-    found = found.unionByName(_stuck(rows).select("element_id", F.lit("stuck").alias("reason"))).unionByName(_spiked(rows, limits).select("element_id", F.lit("spike").alias("reason")))
-    return found.groupBy("element_id").agg(F.min("reason").alias("reason"))
+    sharded = _sharded(readings)
+    limits = fences(scatter_sketches(_courses(sharded)))
+    ends = _long_ends(_runs(sharded))
+    rows = _beside(_runs(_courses(sharded)))
+    stuck = ~F.col("level") & (F.col("n") >= STUCK)
+    rows = rows.withColumn("may", _may_spike()).where(F.col("outside") | F.col("may") | stuck | (F.col("edge") & ~F.col("level")))
+    far, case = _spiked()
+    rows = rows.join(limits, KEYS, "left").join(ends, KEYS, "left").withColumn("far", far)
+    stuck = stuck | F.coalesce(~F.col("level") & F.array_contains("stuck_runs", F.col("run")), F.lit(False))
+    reason = F.when(F.col("outside"), "impossible").when(stuck, "stuck").when(F.col("may") & case, "spike")
+    return rows.select("element_id", reason.alias("reason")).where("reason is not null")
