@@ -131,6 +131,9 @@ def _spiked() -> tuple[Column, Column]:
         course = (b + f) / 2
         # fences around the course, and a rate of change that neither neighbour explains
         out = F.abs(b - f) <= F.col("far")
+        # it is left and reached again at once: the readings next to the group lie on it
+        for d in (-o - 1, n - o):
+            out = out & (F.abs(F.col(f"x{d}") - course) <= F.col("far"))
         for d in range(-o, n - o):
             x = F.col(f"x{d}")
             out = out & (F.abs(x - course) > F.col("far")) & (F.abs(x - b) > F.col("far")) & (F.abs(x - f) > F.col("far"))
