@@ -13,14 +13,15 @@ TOLERANCE_MS = 5_000
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    items = percentiles.reading_items(table(spark, d, "collection_elements"))
-    found = percentiles.bisect(items, ["grp", "metric", "kind"], PERCENTILES)
+    e = table(spark, d, "collection_elements")
+    groups = e.select("grp", "metric").distinct()  # of three kinds each
+    found = percentiles.bisect(percentiles.reading_items(e), ["grp", "metric", "kind"], PERCENTILES, groups, percentiles.BROADCAST_INTERVALS // 3)
     return found.select("grp", "metric", "kind", "pct", F.round("n", 6).alias("n"), "value")
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     """The mergeable summary of each UTC day."""
-    items = percentiles.reading_items(table(spark, d, "collection_elements"))
+    items = percentiles.reading_items(table(spark, d, "collection_elements"), by_day=True)
     return percentiles.summarise(items, ["day", "grp", "metric", "kind"]).select("day", "grp", "metric", "kind", "bucket", F.round("w", 6).alias("w"))
 
 
