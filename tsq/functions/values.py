@@ -4,6 +4,8 @@ Arguments and results are MV columns. An absent (null) operand gives an absent r
 empty (kind 0), never an error. Booleans count as 0 and 1 in arithmetic and comparisons.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def literal(x) -> Column:
     return _make(HISTOGRAM, h=hg.literal(x))
 
 
+def bound(f: Callable[..., Column]) -> Callable[..., Column]:
+    """f as a function that reads each argument column once, whole: the plan then has no field accesses for the optimizer to trace through nested operators, and stays small however deep they nest."""
+
+    def call(*args: Column) -> Column:
+        packed = F.struct(*[a.alias(f"a{i}") for i, a in enumerate(args)])
+        return F.get(F.transform(F.array(packed), lambda p: f(*[p.getField(f"a{i}") for i in range(len(args))])), F.lit(0))
+
+    return call
+
+
 # --- coercions ---
 
 

@@ -80,14 +80,14 @@ class Compiler:
     def map(x, f: Callable[[Column], Column]):
         if isinstance(x, _Constant):
             return _Constant(f(x.value))
-        df = x.df.withColumn("value", f(F.col("value")))
+        df = x.df.withColumn("value", va.bound(f)(F.col("value")))
         return _Scalar(df) if isinstance(x, _Scalar) else _Vector(df, x.clause)
 
     def with_constant(self, x, f, c: ps.Clause):
         """A constant is defined at every scrape time: the other side is interpolated at those, no join is needed."""
         keys = [] if isinstance(x, _Scalar) else ["tags"]
         df = x.df if self.time.interval else align(x.df, keys, self.times(), self.slack, all_times=True)
-        df = df.withColumn("value", f(F.col("value"))).where("value is not null")
+        df = df.withColumn("value", va.bound(f)(F.col("value"))).where("value is not null")
         return _Scalar(df) if isinstance(x, _Scalar) else _Vector(self.wanted(df, x.clause, c), c)
 
     @staticmethod
@@ -104,7 +104,7 @@ class Compiler:
             yd = align(y.df, [] if ys else ["tags"], union, self.slack, all_times=True)
         else:
             xd, yd = x.df, y.df
-        value = f(F.col("x.value"), F.col("y.value"))
+        value = va.bound(f)(F.col("x.value"), F.col("y.value"))
         a, b = xd.alias("x"), yd.alias("y")
         if xs and ys:
             return _Scalar(a.join(b, F.col("x.tp_ms") == F.col("y.tp_ms")).select("x.tp_ms", value.alias("value")))
@@ -153,7 +153,7 @@ def merge_scalars(f: Callable[[list[Column]], Column], inputs: list[DataFrame],
     for i, d in enumerate(inputs):
         a = align(d, [], union, slack, all_times=True).select("tp_ms", F.col("value").alias(f"v{i}"))
         out = a if out is None else out.join(a, "tp_ms")
-    return out.select("tp_ms", f([F.col(f"v{i}") for i in range(len(inputs))]).alias("value"))
+    return out.select("tp_ms", va.bound(lambda *v: f(list(v)))(*[F.col(f"v{i}") for i in range(len(inputs))]).alias("value"))
 
 
 def merge_vectors(f: Callable[[list[Column]], Column], inputs: list[DataFrame], slack: int, clause: ps.Clause = ps.DEFAULT) -> DataFrame:
@@ -173,4 +173,4 @@ def merge_vectors(f: Callable[[list[Column]], Column], inputs: list[DataFrame],
         else:
             a = align(d, [], union, slack, all_times=True).select("tp_ms", F.col("value").alias(f"v{i}"))
             out = out.join(a, "tp_ms")
-    return out.select("tp_ms", "tags", f([F.col(f"v{i}") for i in range(len(inputs))]).alias("value"))
+    return out.select("tp_ms", "tags", va.bound(lambda *v: f(list(v)))(*[F.col(f"v{i}") for i in range(len(inputs))]).alias("value"))

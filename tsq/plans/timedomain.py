@@ -63,7 +63,7 @@ def between(series: DataFrame, keys: list[str], times: DataFrame, slack: int) ->
     pairs = s.where(F.col("n").isNotNull() & (lo <= hi)).select(*keys, F.col("tp_ms").alias("p"), F.col("value").alias("v"), "n", F.explode(F.sequence(bucket(lo), bucket(hi))).alias("bucket"))
     t = times.select("tp_ms", bucket(F.col("tp_ms")).alias("bucket"))
     hit = pairs.join(t, "bucket").where("tp_ms > p and tp_ms < n.t" + f" and tp_ms <= p + {slack} and tp_ms >= n.t - {slack}")
-    return hit.select(*keys, "tp_ms", va.interpolate(F.col("tp_ms"), F.col("p"), F.col("v"), F.col("n.t"), F.col("n.v")).alias("value")).where("value is not null")
+    return hit.select(*keys, "tp_ms", va.bound(va.interpolate)(F.col("tp_ms"), F.col("p"), F.col("v"), F.col("n.t"), F.col("n.v")).alias("value")).where("value is not null")
 
 
 def align(series: DataFrame, keys: list[str], times: DataFrame, slack: int, all_times: bool = False) -> DataFrame:
