@@ -255,7 +255,7 @@ def _histograms(spark: SparkSession, d: str) -> DataFrame:
 def _hist_stats(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("h")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return _histograms(spark, d).select("element_id", r(hg.low(h), "low"), r(hg.high(h), "high"), r(hg.total(h), "total"), r(hg.count(h), "n"), r(hg.mean(h), "mean"), hg.is_empty(h).alias("is_empty"))
+    return _histograms(spark, d).select("element_id", r(hg.low(h), "low"), r(hg.high(h), "high"), r(hg.total(h), "total"), r(hg.count(h), "n"), F.round(hg.mean(h), 9).alias("mean"), hg.is_empty(h).alias("is_empty"))
 
 
 def _ranges(df: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def oracle_sql() -> dict[str, str]:
             select x.grp, x.metric, x.lk::int least_kind, y.g greatest, y.t greatest_text from (select grp, metric, value.kind lk from f where a = 1) x
             join (select grp, metric, case when c in (1, 2) then n end::double g, value.s t from f where z = 1) y on x.grp = y.grp and x.metric = y.metric""",
         "hist_stats": _HIST + """select element_id, round(min(r.lo), 6) low, round(max(r.hi), 6) high, round(coalesce(sum((r.lo / 2 + r.hi / 2) * r.cnt), 0), 6) total, round(coalesce(sum(r.cnt), 0), 6) n,
-            case when sum(r.cnt) <> 0 then round(sum((r.lo / 2 + r.hi / 2) * r.cnt) / sum(r.cnt), 6) end as mean, count(r) = 0 is_empty from h left join r using (element_id) group by element_id""",
+            case when sum(r.cnt) <> 0 then round(sum((r.lo / 2 + r.hi / 2) * r.cnt) / sum(r.cnt), 9) end as mean, count(r) = 0 is_empty from h left join r using (element_id) group by element_id""",
         "hist_scale": _HIST + "select element_id, r.lo, r.hi, round(r.cnt * 3, 6) cnt from r",
         "hist_divide": _HIST + "select element_id, r.lo, r.hi, round(r.cnt / 4, 6) cnt from r",
         "hist_negate": _HIST + "select element_id, r.lo, r.hi, round(-r.cnt, 6) cnt from r",

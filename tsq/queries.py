@@ -60,7 +60,7 @@ def _work(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     t = rolling_totals(_work(spark, d), "host")
-    return t.select(F.col("entity").alias("host"), F.date_from_unix_date(F.col("day").cast("int")).cast("string").alias("day_utc"), "n_day", F.round("total_7", 6).alias("total_7"), "n_7", F.round("avg_7", 6).alias("avg_7"), F.round("total_30", 6).alias("total_30"), "n_30", F.round("avg_30", 6).alias("avg_30"))
+    return t.select(F.col("entity").alias("host"), F.date_from_unix_date(F.col("day").cast("int")).cast("string").alias("day_utc"), "n_day", F.round("total_7", 6).alias("total_7"), "n_7", F.round("avg_7", 9).alias("avg_7"), F.round("total_30", 6).alias("total_30"), "n_30", F.round("avg_30", 9).alias("avg_30"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_grid": _GRID + """select host, metric, pos as slot_ms, case when pos = slot then 'observed' when pos - slot <= 10 * step then 'filled' else 'missing' end status,
             case when pos - slot <= 10 * step then x end as value, case when pos = slot then 0 else pos - l end::bigint age_ms from g""",
         "p6_found": _ROLL + "select host, cast(date '1970-01-01' + day::int as varchar) day_utc from t where n_day = 0 and n_7 > 0",
-        "p6_totals": _ROLL + """select host, cast(date '1970-01-01' + day::int as varchar) day_utc, n_day, round(total_7, 6) total_7, n_7, round(if(n_7 > 0, total_7 / n_7, null), 6) avg_7,
-            round(total_30, 6) total_30, n_30, round(if(n_30 > 0, total_30 / n_30, null), 6) avg_30 from t""",
+        "p6_totals": _ROLL + """select host, cast(date '1970-01-01' + day::int as varchar) day_utc, n_day, round(total_7, 6) total_7, n_7, round(if(n_7 > 0, total_7 / n_7, null), 9) avg_7,
+            round(total_30, 6) total_30, n_30, round(if(n_30 > 0, total_30 / n_30, null), 9) avg_30 from t""",
     }
