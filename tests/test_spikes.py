@@ -60,6 +60,17 @@ def test_levels_step_but_don_t_leap(spark):
     assert flagged(spark, series(v, nature="level")) == {200: "spike"}
 
 
+@pytest.mark.parametrize("spikes_at", [{40: [3889.0]}, {40: [3889.0], 90: [600.0]}, {40: [2580.0, 900.0, 2580.0], 90: [600.0]}])
+def test_spikes_of_a_level_that_rarely_changes_don_t_set_its_fences(spark, spikes_at):
+    # eleven everyday steps, and two changes or more by the spikes
+    v = [float(i // 10 % 3) for i in range(120)]
+    for at, high in spikes_at.items():
+        v[at + 3 : at + 3 + len(high)] = high
+    want = {at + 3 + i: "spike" for at, high in spikes_at.items() for i in range(len(high))}
+    assert flagged(spark, series(v, nature="level")) == want
+    assert flagged(spark, series([float(i // 10 % 3) for i in range(120)], nature="level")) == {}
+
+
 def test_impossible(spark):
     v = noise(50)
     v[10], v[20] = -1.0, float("inf")

@@ -10,6 +10,9 @@ SILENCE = 4
 #: Half the width of the fences in scatters. The scatter is half the interquartile range of the changes from reading to reading,
 #: which for a noise of deviation s is 0.95 s, so that 9.5 of them are nine to ten deviations.
 FENCE = 9.5
+#: A level's scatter is the quantile LEVEL of its absolute changes, or that below its OUTLIERS greatest ones, the median at least:
+#: so the jumps of three spikes of SPIKE readings, or of six of one reading, set no fence.
+LEVEL, OUTLIERS = 0.9, 12
 #: Size of the quantile sketches: exact below it, a rank error of about 0.4 % beyond.
 SKETCH_K = 1024
 #: An hour of the day has its own scatter if it has so many changes.
@@ -59,22 +62,26 @@ def _runs(r: DataFrame) -> DataFrame:
 
 
 def scatter_sketches(r: DataFrame) -> DataFrame:
-    """Quantile sketches of the changes per (host, metric, shard, hour of the day), built where the rows lie; they merge over shards and hours."""
+    """Quantile sketches of the changes (of levels the absolute ones) per (host, metric, shard, hour of the day), built where the rows lie; they merge over shards and hours."""
     finite = F.col("own") & (F.col("change") != 0) & (F.abs("change") < float("inf"))
     hour = F.pmod(F.floor(F.col("tp_ms") / F.lit(3_600_000)), F.lit(24)).cast("int")
-    return r.where(finite).groupBy(*KEYS, hour.alias("hour")).agg(F.kll_sketch_agg_double("change", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.count("*").alias("n"))
+    change = F.when(F.col("level"), F.abs("change")).otherwise(F.col("change"))
+    return r.where(finite).groupBy(*KEYS, hour.alias("hour")).agg(F.kll_sketch_agg_double(change, F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.count("*").alias("n"))
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """Per (host, metric, shard) the source's scatter and its scatters by hour: half the interquartile range, for levels half the range between the 5th and 95th percentile.
+    """Per (host, metric, shard) the source's scatter and its scatters by hour: half the interquartile range, for levels a quantile of the absolute changes (see LEVEL).
 
     A source's sketch is merged from those of its shards and hours, so partial sketches of files or days combine the same way.
     """
-    q = lambda s, p: F.kll_sketch_get_quantile_double(s, F.lit(p))
-    spread = lambda s: F.when(F.col("level"), q(s, 0.95) - q(s, 0.05)).otherwise(q(s, 0.75) - q(s, 0.25)) / 2
+    q = lambda s, p: F.kll_sketch_get_quantile_double(s, p)
+    # the functions take constant ranks only: those a level may need, of which the one for its number of changes is taken
+    ranks = F.array(*[F.lit(p / 20) for p in range(10, round(LEVEL * 20) + 1)])
+    usual = F.floor((F.greatest(F.lit(0.5), F.least(F.lit(LEVEL), 1 - F.lit(float(OUTLIERS)) / F.col("n"))) - 0.5) * 20 + 1e-9).cast("int")
+    spread = lambda s: F.when(F.col("level"), F.get(q(s, ranks), usual)).otherwise((q(s, F.lit(0.75)) - q(s, F.lit(0.25))) / 2)
     hours = sketches.groupBy("host", "metric", "hour").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.sum("n").alias("n"))
     own = F.when(F.col("n") >= HOUR_ROWS, F.struct("hour", spread(F.col("sketch")).alias("scatter")))
-    source = hours.groupBy("host", "metric").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.collect_list(own).alias("by_hour"))
+    source = hours.groupBy("host", "metric").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.bool_or("level").alias("level"), F.sum("n").alias("n"), F.collect_list(own).alias("by_hour"))
     source = source.select("host", "metric", spread(F.col("sketch")).alias("scatter"), "by_hour")
     return sketches.select(*KEYS).distinct().join(source, ["host", "metric"])
 
@@ -150,7 +157,8 @@ def implausible(readings: DataFrame) -> DataFrame:
 
     Method: each source's changes go into quantile sketches by hour of the day, built per shard and merged; the expanded
     interquartile fences stand around the course nearby (medians of NEAR readings before and after within the same course).
-    A source whose values never change has no fences: only the bounds and the stuck rule apply to it.
+    A source whose values never change has no fences: only the bounds and the stuck rule apply to it. Nor are there usable ones for a level
+    of whose changes more than half are jumps of spikes, as when it is constant but for a spike: nothing tells such a jump from a step.
     Readings lie in time shards of bounded length with a halo, so a hot source is spread; rows move once, and only sketches,
     fences and the ends of equal runs move besides. Rows with a null id, host, metric, time, value or interval are left out, NaN too; infinite
     values take part and are never a source's normal. Of equal times the order is by element_id; redelivered rows, equal in all columns, count once.
