@@ -248,6 +248,19 @@ def _value_order(spark: SparkSession, d: str) -> DataFrame:
     return g.select("grp", "metric", F.col("a.value.kind").cast("int").alias("least_kind"), va.as_double(F.col("b.value")).alias("greatest"), F.col("b.value.s").alias("greatest_text"))
 
 
+def _value_text_all(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d).select("element_id", tx.value(F.col("value")).alias("text"))
+
+
+def _value_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """The least and greatest value of each metric in the weak order, of values of all kinds."""
+    e = table(spark, d, "collection_elements").where("value is not null")
+    k = F.struct(va.sort_key(F.col("value")).alias("k"), F.col("value"))
+    g = e.groupBy(F.array_join("grp", ".").alias("grp"), F.array_join("metric", ".").alias("metric")).agg(F.min(k).alias("a"), F.max(k).alias("b"))
+    ends = [c for x, n in (("a", "least"), ("b", "greatest")) for c in (F.col(f"{x}.value.kind").cast("int").alias(f"{n}_kind"), tx.value(F.col(f"{x}.value")).alias(n))]
+    return g.select("grp", "metric", *ends)
+
+
 def _histograms(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).where("value.kind = 6").select("element_id", F.col("value.h").alias("h"))
 
@@ -286,6 +299,10 @@ def _hist_text(spark: SparkSession, d: str) -> DataFrame:
     return _histograms(spark, d).where(whole).select("element_id", hg.text(F.col("h")).alias("text"))
 
 
+def _hist_text_all(spark: SparkSession, d: str) -> DataFrame:
+    return _histograms(spark, d).select("element_id", hg.text(F.col("h")).alias("text"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {n: _events(e, value=_bool if b else _num) for n, (e, _, _, b) in _EXPRESSIONS.items()}
     out |= {n: _events(e) for n, (e, _, _) in _FILTERS.items()}
@@ -300,6 +317,7 @@ def queries() -> dict[str, Query]:
         "hist_stats": _hist_stats, "hist_scale": _hist_op(lambda v: va.multiply(v, va.literal(3))), "hist_divide": _hist_op(lambda v: va.divide(v, va.literal(4.0))),
         "hist_negate": _hist_op(va.negate), "hist_add": _hist_add, "hist_sum": _hist_op(lambda v: va.add(v, v)), "hist_difference": _hist_difference,
         "hist_running": _hist_running, "hist_text": _hist_text,
+        "value_text_all": _value_text_all, "value_order_all": _value_order_all, "hist_text_all": _hist_text_all,
     }
     return out
 

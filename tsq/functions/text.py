@@ -43,7 +43,7 @@ def name(s: str) -> str:
 def _escaped(s: Column) -> Column:
     """Text of a string in the JVM: characters that need no escape pass as they are."""
     parts = F.transform(F.split(s, ""), lambda c: _escaped_char(c))
-    return F.when(s.rlike(r'^[ !#-\[\]-~]*$'), s).otherwise(F.array_join(parts, ""))
+    return F.when(s.rlike(r'^[ !#-\[\]-~]*\z'), s).otherwise(F.array_join(parts, ""))
 
 
 def _escaped_char(c: Column) -> Column:
