@@ -1,5 +1,6 @@
 """Queries over all rows of their tables, against brute force."""
 
+import datetime as dt
 import math
 import random
 
@@ -45,3 +46,40 @@ def test_order_of_all_kinds(spark, tmp_path):
         texts = {str(constant(x.value)): x.t for x in e.select("value", own.tx.value(F.col("value")).alias("t")).collect()}
         kinds = [mv(x)[0] for x in (some[0], some[-1])]
         assert (r.least, r.greatest) == (texts[str(some[0])], texts[str(some[-1])]) and [r.least_kind, r.greatest_kind] == kinds
+
+
+def events(spark, tmp_path, rows):
+    at = lambda t: dt.datetime.fromtimestamp((own.JAN_1 + t) / 1000, dt.timezone.utc)
+    spark.createDataFrame([(i, at(t), e, u, v, '{"k": 1}') for i, (t, e, u, v) in enumerate(rows)], "event_id bigint, ts timestamp, event_type string, user_id bigint, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def at_time(samples, t, slack):
+    """Value of a series, a dict by time, at t, or None."""
+    if t in samples:
+        return samples[t]
+    p, n = max((x for x in samples if x < t), default=None), min((x for x in samples if x > t), default=None)
+    if p is None or n is None or t - p > slack or n - t > slack:
+        return None
+    return samples[p] * ((n - t) / (n - p)) + samples[n] * ((t - p) / (n - p))
+
+
+def some_events(span, n, seed):
+    rnd = random.Random(seed)
+    rows = {(rnd.randrange(span), rnd.choice(["signup", "view"]), rnd.randrange(3)): rnd.uniform(0, 100) for _ in range(n)}
+    return [(*k, v) for k, v in rows.items()]
+
+
+def by_series(rows):
+    out = {}
+    for t, e, u, v in rows:
+        out.setdefault((e, u), {})[t] = v
+    return out
+
+
+def test_a_constant_meets_a_vector_at_every_time_of_the_table(spark, tmp_path):
+    rows = some_events(5 * 24 * own.HOUR, 700, 6)
+    got = {(r.tp_ms - own.JAN_1, r.user_id): r.v for r in own.queries()["align_interpolate_constant_all"](spark, events(spark, tmp_path, rows)).collect()}
+    want = {(t, u): 2 * v for (e, u), s in by_series(rows).items() if e == "signup" for t in {r[0] for r in rows} if (v := at_time(s, t, own.HOUR // 2)) is not None}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+    assert len(want) > sum(e == "signup" for _, e, *_ in rows) and max(t for t, _ in want) > 4 * 24 * own.HOUR

@@ -129,6 +129,11 @@ def _align_constant(spark: SparkSession, d: str) -> DataFrame:
     return _events("app.signup::value * 2", TimeRange(JAN_1, JAN_1 + 24 * HOUR), slack=HOUR // 2)(spark, d)
 
 
+def _align_constant_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same at all scrape times of the table."""
+    return _events("app.signup::value * 2", slack=HOUR // 2)(spark, d)
+
+
 def _by_type(spark: SparkSession, d: str, event: str) -> DataFrame:
     return sm.of_events(spark, d).where((F.get("grp", F.lit(1)) == event) & (F.get("metric", F.lit(0)) == "value")).groupBy("tp_ms").agg(F.max(va.as_double(F.col("value"))).alias("x")).select("tp_ms", va.double(F.col("x")).alias("value"))
 
@@ -317,7 +322,7 @@ def queries() -> dict[str, Query]:
         "hist_stats": _hist_stats, "hist_scale": _hist_op(lambda v: va.multiply(v, va.literal(3))), "hist_divide": _hist_op(lambda v: va.divide(v, va.literal(4.0))),
         "hist_negate": _hist_op(va.negate), "hist_add": _hist_add, "hist_sum": _hist_op(lambda v: va.add(v, v)), "hist_difference": _hist_difference,
         "hist_running": _hist_running, "hist_text": _hist_text,
-        "value_text_all": _value_text_all, "value_order_all": _value_order_all, "hist_text_all": _hist_text_all,
+        "value_text_all": _value_text_all, "value_order_all": _value_order_all, "hist_text_all": _hist_text_all, "align_interpolate_constant_all": _align_constant_all,
     }
     return out
 
@@ -376,6 +381,10 @@ def oracle_sql() -> dict[str, str]:
         "align_interpolate_vector": f"{_EV}, l as (select tp_ms, user_id, value x from e where event_type = 'view'), r as (select tp_ms, user_id, value x from e where event_type = 'click'), {_aligned('l', 'r', 'user_id', HOUR)} select a.tp_ms, a.user_id, round(a.x + b.x, 6) v from a join b on a.tp_ms = b.tp_ms and a.user_id = b.user_id where a.x is not null and b.x is not null",
         "align_interpolate_scalar": f"{_EV}, l as (select tp_ms, max(value) x from e where event_type = 'view' group by all), r as (select tp_ms, max(value) x from e where event_type = 'error' group by all), {_aligned('l', 'r', '', 5 * 60_000)} select a.tp_ms, round(a.x - b.x, 6) v from a join b on a.tp_ms = b.tp_ms where a.x is not null and b.x is not null",
         "align_interpolate_constant": f"{_EV}, t as (select distinct tp_ms from e where tp_ms between {JAN_1} and {JAN_1 + 24 * HOUR}), {_at_times(HOUR // 2)} select tp_ms, user_id, round(v * 2, 6) v from at_t where event_type = 'signup' and v is not null",
+        "align_interpolate_constant_all": f"""{_EV}, t as (select distinct tp_ms from e), s as (select tp_ms, user_id, value x, lead(tp_ms) over w nt, lead(value) over w nx from e where event_type = 'signup' window w as (partition by user_id order by tp_ms))
+            select tp_ms, user_id, round(x * 2, 6) v from s union all
+            select t.tp_ms, user_id, round((x * ((nt - t.tp_ms)::double / (nt - s.tp_ms)) + nx * ((t.tp_ms - s.tp_ms)::double / (nt - s.tp_ms))) * 2, 6) from (from s where nt - tp_ms <= {HOUR}) s
+              join t on t.tp_ms > s.tp_ms and t.tp_ms < s.nt where t.tp_ms <= s.tp_ms + {HOUR // 2} and t.tp_ms >= s.nt - {HOUR // 2}""",
         "join_scalar_vector": f"{_EV}, m as (select tp_ms, max(value) x from e where event_type = 'click' group by all) select tp_ms, user_id, round(x + k, 6) v from e join m using (tp_ms) where event_type = 'click'",
         "resample_grid": grid + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
         "range_edges": edge + _at_times(6 * HOUR) + f"select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null union all select tp_ms, event_type, user_id, 'value', round(value, 6) from e where tp_ms > {JAN_1 + 48 * HOUR} and tp_ms < {JAN_1 + 60 * HOUR}",
