@@ -99,3 +99,9 @@ def test_shared_passages_repeats_nulls_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(10, ITEM, 1), (10, ITEM, 1), (11, "nothing", 2), (12, None, 3), (None, ITEM, 4), (13, "x " * 50_000 + ITEM, 5), (14, "", 6)], "doc_id bigint, text string, item_id int")
     assert sorted((r.item_id, r.doc_id, r.edits) for r in leaks(items, docs).collect()) == [(i, d, 0) for i in (1, 2) for d in (10, 13)]
     assert leaks(items.limit(0), docs).count() == leaks(items, docs.limit(0)).count() == 0
+
+
+def test_edits_are_those_of_the_best_window():
+    ws = ITEM.split()
+    assert Matcher([(1, ITEM)]).find(" ".join([*ws[:4], "foreign", *ws[4:]])) == [(1, 0)]
+    assert Matcher([(1, ITEM)]).find(" ".join([*ws[:4], "foreign", *ws[5:12], "alien", *ws[13:]])) == [(1, 1)]

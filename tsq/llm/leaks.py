@@ -98,7 +98,7 @@ class Matcher:
         return self.masks[n, s]
 
     def find(self, text: str) -> list[tuple[int, int]]:
-        """(item, edits of its best window seen first within the budget) of each item leaked in the text."""
+        """(item, edits of its best window) of each item leaked in the text."""
         get = self.ids.get
         ws = [get(w, 0) for w in words(text)]
         p, window, errors, index = self.piece, self.window, self.errors, self.index
@@ -108,7 +108,7 @@ class Matcher:
             if not (ws[at] and ws[at + p - 1]):
                 continue
             for n, k in index.get(tuple(ws[at : at + p]), ()):
-                if n in found:
+                if found.get(n) == 0:
                     continue
                 size = len(self.items[n][1])
                 for piece in range(errors + 1):
@@ -118,9 +118,10 @@ class Matcher:
                         continue
                     tried.add((n, s, first))
                     d = myers(self._mask(n, s), window, ws[max(0, first - errors) : first + window + errors])
-                    if d <= errors:
+                    if d <= found.get(n, errors):
                         found[n] = d
-                        break
+                        if d == 0:
+                            break
         return [(self.items[n][0], d) for n, d in found.items()]
 
 
