@@ -83,3 +83,16 @@ def test_a_constant_meets_a_vector_at_every_time_of_the_table(spark, tmp_path):
     want = {(t, u): 2 * v for (e, u), s in by_series(rows).items() if e == "signup" for t in {r[0] for r in rows} if (v := at_time(s, t, own.HOUR // 2)) is not None}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
     assert len(want) > sum(e == "signup" for _, e, *_ in rows) and max(t for t, _ in want) > 4 * 24 * own.HOUR
+
+
+def test_grids_cover_the_whole_table(spark, tmp_path):
+    rows = some_events(12 * 24 * own.HOUR, 900, 7)
+    d = events(spark, tmp_path, rows)
+    first, last = min(rows)[0], max(rows)[0]
+    for name, step, slack, plus, kinds in (("resample_grid_all", 7, 12, 0, ("signup", "view")), ("expression_grid_all", 4, 8, 1, ("view",))):
+        r = own.queries()[name](spark, d).collect()
+        got = {(x.tp_ms - own.JAN_1, x.event_type if "event_type" in x else "view", x.user_id): x.v for x in r}
+        grid = {*range(first, last + 1, step * own.HOUR), last}
+        want = {(t, *k): v + plus for k, s in by_series(rows).items() if k[0] in kinds for t in grid if (v := at_time(s, t, slack * own.HOUR)) is not None}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want) and len(r) == len(got)
+        assert max(got)[0] - min(got)[0] > 0.9 * (last - first)

@@ -167,6 +167,20 @@ def _expression_grid(spark: SparkSession, d: str) -> DataFrame:
     return _events("app.view::value + 1", TimeRange(JAN_1, JAN_1 + 200 * HOUR, 4 * HOUR), slack=8 * HOUR)(spark, d)
 
 
+def _whole_range(spark: SparkSession, d: str, interval: int) -> TimeRange:
+    """From the first to the last time of the events by an interval that doesn't divide that span; without events an empty one."""
+    first, last = sm.time_bounds(sm.of_events(spark, d)).first()
+    return TimeRange(0, 0, interval) if first is None else TimeRange(first, last, interval + ((last - first) % interval == 0))
+
+
+def _resample_grid_all(spark: SparkSession, d: str) -> DataFrame:
+    return _series(sm.emit(sm.of_events(spark, d), _whole_range(spark, d, 7 * HOUR), slack=12 * HOUR, metric=parse_path_matcher("value")))
+
+
+def _expression_grid_all(spark: SparkSession, d: str) -> DataFrame:
+    return _events("app.view::value + 1", _whole_range(spark, d, 4 * HOUR), slack=8 * HOUR)(spark, d)
+
+
 def _scan_range(spark: SparkSession, d: str) -> DataFrame:
     s = sm.emit(sm.of_events(spark, d), TimeRange(JAN_1 + 24 * HOUR, JAN_1 + 48 * HOUR), parse_path_matcher("app.**"), parse_tag_matcher("{user}"), parse_path_matcher("*"))
     return _series(s)
@@ -323,6 +337,7 @@ def queries() -> dict[str, Query]:
         "hist_negate": _hist_op(va.negate), "hist_add": _hist_add, "hist_sum": _hist_op(lambda v: va.add(v, v)), "hist_difference": _hist_difference,
         "hist_running": _hist_running, "hist_text": _hist_text,
         "value_text_all": _value_text_all, "value_order_all": _value_order_all, "hist_text_all": _hist_text_all, "align_interpolate_constant_all": _align_constant_all,
+        "resample_grid_all": _resample_grid_all, "expression_grid_all": _expression_grid_all,
     }
     return out
 
@@ -359,6 +374,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: f"{_EV}select tp_ms, user_id, round({c}, 6)::double v from e where {w}" for n, (_, w, c) in _FILTERS.items()}
     out |= {n: _LI + s for n, (_, s) in _JOINS.items()}
     grid = f"{_EV}, t as (select unnest(range({JAN_1 + HOUR}, {JAN_1 + 100 * HOUR} + 1, {7 * HOUR})) tp_ms union select {JAN_1 + 100 * HOUR}), "
+    whole = lambda step: f"{_EV}, m as (select min(tp_ms) a, max(tp_ms) z from e), t as (select unnest(range(a, z + 1, {step} + if((z - a) % {step} = 0, 1, 0))) tp_ms from m union select z from m), "
     edge = f"{_EV}, t as (select unnest([{JAN_1 + 48 * HOUR}, {JAN_1 + 60 * HOUR}]) tp_ms), "
     alerts = f"""{_EV}, a as (select user_id::varchar as name, tp_ms, case when value > 40 then 'TRIGGERING' else 'OK' end state from e where event_type = 'purchase'),
         i as (select *, sum(case when state = prev then 0 else 1 end) over (partition by name order by tp_ms, state) island from (select *, lag(state) over (partition by name order by tp_ms, state) prev from a))"""
@@ -387,6 +403,8 @@ def oracle_sql() -> dict[str, str]:
               join t on t.tp_ms > s.tp_ms and t.tp_ms < s.nt where t.tp_ms <= s.tp_ms + {HOUR // 2} and t.tp_ms >= s.nt - {HOUR // 2}""",
         "join_scalar_vector": f"{_EV}, m as (select tp_ms, max(value) x from e where event_type = 'click' group by all) select tp_ms, user_id, round(x + k, 6) v from e join m using (tp_ms) where event_type = 'click'",
         "resample_grid": grid + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
+        "resample_grid_all": whole(7 * HOUR) + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
+        "expression_grid_all": whole(4 * HOUR) + _at_times(8 * HOUR) + "select tp_ms, user_id, round(v + 1, 6) v from at_t where event_type = 'view' and v is not null",
         "range_edges": edge + _at_times(6 * HOUR) + f"select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null union all select tp_ms, event_type, user_id, 'value', round(value, 6) from e where tp_ms > {JAN_1 + 48 * HOUR} and tp_ms < {JAN_1 + 60 * HOUR}",
         "expression_grid": f"{_EV}, t as (select unnest(range({JAN_1}, {JAN_1 + 200 * HOUR} + 1, {4 * HOUR})) tp_ms), {_at_times(8 * HOUR)} select tp_ms, user_id, round(v + 1, 6) v from at_t where event_type = 'view' and v is not null",
         "alert_status": alerts + "select name, tp_ms, state, '{user=' || name || '}' attributes from a",
