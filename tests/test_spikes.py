@@ -27,15 +27,15 @@ def noise(n, seed=1, base=50.0, s=1.0):
     return [base + r.gauss(0, s) for _ in range(n)]
 
 
-@pytest.mark.parametrize("at", [1, 100, 1022, 1023, 1024, 1498])
-@pytest.mark.parametrize("size", [1, 2, 3])
-def test_short_spikes_that_come_back(spark, at, size):
-    v = noise(1500)
-    if at + size >= len(v):
-        pytest.skip("no return")
-    for i in range(size):
-        v[at + i] += 40 if i % 2 == 0 else 55
-    assert flagged(spark, series(v)) == {at + i: "spike" for i in range(size)}
+def test_short_spikes_that_come_back(spark):
+    rows, want = [], {}
+    for k, (at, size) in enumerate((at, size) for at in (1, 100, 1022, 1023, 1024, 1498) for size in (1, 2, 3) if at + size < 1500):
+        v = noise(1500)
+        for i in range(size):
+            v[at + i] += 40 if i % 2 == 0 else 55
+            want[k * 10_000 + at + i] = "spike"
+        rows += series(v, f"h{k}", first=k * 10_000)
+    assert flagged(spark, rows) == want
 
 
 def test_shifts_surges_and_slow_movements_are_no_cases(spark):
@@ -60,15 +60,16 @@ def test_levels_step_but_don_t_leap(spark):
     assert flagged(spark, series(v, nature="level")) == {200: "spike"}
 
 
-@pytest.mark.parametrize("spikes_at", [{40: [3889.0]}, {40: [3889.0], 90: [600.0]}, {40: [2580.0, 900.0, 2580.0], 90: [600.0]}])
-def test_spikes_of_a_level_that_rarely_changes_don_t_set_its_fences(spark, spikes_at):
+def test_spikes_of_a_level_that_rarely_changes_don_t_set_its_fences(spark):
     # eleven everyday steps, and two changes or more by the spikes
-    v = [float(i // 10 % 3) for i in range(120)]
-    for at, high in spikes_at.items():
-        v[at + 3 : at + 3 + len(high)] = high
-    want = {at + 3 + i: "spike" for at, high in spikes_at.items() for i in range(len(high))}
-    assert flagged(spark, series(v, nature="level")) == want
-    assert flagged(spark, series([float(i // 10 % 3) for i in range(120)], nature="level")) == {}
+    rows, want = series([float(i // 10 % 3) for i in range(120)], "none", "level", first=90_000), {}
+    for k, spikes_at in enumerate([{40: [3889.0]}, {40: [3889.0], 90: [600.0]}, {40: [2580.0, 900.0, 2580.0], 90: [600.0]}]):
+        v = [float(i // 10 % 3) for i in range(120)]
+        for at, high in spikes_at.items():
+            v[at + 3 : at + 3 + len(high)] = high
+            want |= {k * 1000 + at + 3 + i: "spike" for i in range(len(high))}
+        rows += series(v, f"h{k}", "level", first=k * 1000)
+    assert flagged(spark, rows) == want
 
 
 def test_impossible(spark):
@@ -90,17 +91,19 @@ def brute_stuck(values):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_stuck_runs_across_shards_and_silences(spark, seed, monkeypatch):
+def test_stuck_runs_across_shards_and_silences(spark, monkeypatch):
     monkeypatch.setattr(spikes, "SHARD_INTERVALS", 40)
-    r = random.Random(seed)
-    v, k = [], 0
-    while len(v) < 600:
-        k += 1
-        v += [float(k % 7)] * r.choice([1, 2, 5, 11, 12, 13, 50, 120])
-    rows = series(v, gaps={i for i in range(600) if r.random() < 0.05})
+    rows, want = [], set()
+    for seed in range(4):
+        r = random.Random(seed)
+        v, k = [], 0
+        while len(v) < 600:
+            k += 1
+            v += [float(k % 7)] * r.choice([1, 2, 5, 11, 12, 13, 50, 120])
+        rows += series(v, f"h{seed}", first=seed * 10_000, gaps={i for i in range(600) if r.random() < 0.05})
+        want |= {seed * 10_000 + i for i in brute_stuck(v)}
     got = {e for e, why in flagged(spark, rows + rows[::3]).items() if why == "stuck"}
-    assert got == brute_stuck(v)
+    assert got == want
 
 
 def test_levels_are_never_stuck_and_nulls_and_nan_don_t_count(spark):
@@ -113,6 +116,30 @@ def test_scatter_is_half_the_interquartile_range(spark):
     v = noise(2000, 11)
     d = sorted(b - a for a, b in zip(v, v[1:]))
     q = statistics.quantiles(d, n=4)
-    rows = spikes._courses(spikes._sharded(spark.createDataFrame(series(v), SCHEMA)))
-    limits = spikes.fences(spikes.scatter_sketches(rows)).collect()
+    limits = spikes.fences(spikes.scatter_sketches(spikes._sharded(spark.createDataFrame(series(v), SCHEMA)))).collect()
     assert {round(x.scatter, 9) for x in limits} and all(abs(x.scatter - (q[2] - q[0]) / 2) < 0.05 for x in limits)
+
+
+def test_the_hour_of_the_day_draws_the_fences_in_or_out(spark):
+    # forty days; the hours 0 to 11 are quiet, the others ten times as lively
+    r = random.Random(5)
+    v = [50 + r.gauss(0, 0.2 if m // 60 % 24 < 12 else 2.0) for m in range(1, 1440 * 40 + 1)]
+    v[1440 * 20 + 300] += 8.0  # at about six o'clock, beyond a quiet hour's fences only
+    v[1440 * 20 + 1100] += 8.0  # an everyday height in a lively hour
+    assert flagged(spark, series(v)) == {1440 * 20 + 300: "spike"}
+    (one,) = spikes.fences(spikes.scatter_sketches(spikes._sharded(spark.createDataFrame(series(v), SCHEMA)))).collect()
+    assert set(one.by_hour) == set(range(24)) and one.by_hour[5] < one.scatter < one.by_hour[18]
+
+
+def test_rows_are_shuffled_once_for_all_branches(spark, tmp_path):
+    spark.createDataFrame(series(noise(50)), SCHEMA).write.parquet(str(tmp_path / "r"))
+    df = implausible(spark.read.parquet(str(tmp_path / "r")))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_runs_join_up_over_shards_that_they_fill(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "SHARD_INTERVALS", 5)
+    v = noise(7) + [7.0] * 4 + noise(3, 2) + [7.0] * 30 + noise(9, 3) + [8.0] * 11
+    assert {e for e, why in flagged(spark, series(v)).items() if why == "stuck"} == set(range(14, 44))
