@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsq.sources.tables import BROADCAST_ROWS
+
 TYPES = ("boolean", "number", "string", "list", "object")
 
 #: Names looked at first when a file's keys tell no difference. Roles are otherwise found by what the keys hold.
@@ -11,100 +13,105 @@ METRIC_NAMES, GROUP_NAMES, TIME_NAMES = ("metric",), ("group",), ("tp",)
 FILE = ["feed", "file_no"]
 
 
-def _kind(v: Column) -> Column:
-    """Alternative of the union that a variant belongs to; null for null."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t == "BOOLEAN", "boolean")
-        .when(t == "STRING", "string")
-        .when(t.startswith("OBJECT"), "object")
-        .when(t.startswith("ARRAY"), "list")
-        .when(t == "VOID", None)
-        .otherwise("number")
-    )
+#: The alternatives of the union by the first two letters of a variant's type; a variant read from JSON has no others, and null (VO) has none.
+CODES = {"BO": "boolean", "BI": "number", "DE": "number", "DO": "number", "FL": "number", "ST": "string", "AR": "list", "OB": "object"}
 
+_OBJECT, _LIST = "map<string,variant>", "array<variant>"
 
-def readable(raw: DataFrame) -> DataFrame:
-    """feed, file_no, line_no, v: the distinct lines that hold a JSON object, as variants.
 
-    Empty, null and unreadable lines and rows without feed or file number are left out. Lines delivered twice count once.
-    """
-    lines = raw.where("feed is not null and file_no is not null and body is not null").select(*FILE, "line_no", "body").distinct()
-    lines = lines.withColumn("v", F.try_parse_json("body"))
-    return lines.where(F.schema_of_variant("v").startswith("OBJECT")).select(*FILE, "line_no", F.xxhash64("body").alias("rec"), "v")
+def _alternative(code: Column) -> Column:
+    """Alternative of the union for a code; null for null."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), code)
 
 
-def _entries(df: DataFrame, variant: str, key: str, value: str) -> DataFrame:
-    """df with a row for each key of the object in variant."""
-    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()).select(F.col("key").alias(key), F.col("value").alias(value)))
+def _coded(entries: Column) -> Column:
+    """Each entry of an object with its key, the code of its value's type (looked up once) and the value."""
+    return F.transform(entries, lambda e: F.struct(e.key.alias("key"), F.left(F.schema_of_variant(e.value), F.lit(2)).alias("code"), e.value.alias("value")))
 
 
-def _items(df: DataFrame, variant: str, value: str) -> DataFrame:
-    """df with a row for each item of the list in variant."""
-    return df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(variant).outer()).select(F.col("pos").cast("int").alias("item_no"), F.col("value").alias(value)))
+def _texted(coded: Column, with_value: bool) -> Column:
+    """Coded entries with the text that could name a metric: a string, or a list of strings joined with '.'. with_value: the value as JSON too."""
 
+    def one(e: Column) -> Column:
+        path = F.when(F.schema_of_variant(e.value) == "ARRAY<STRING>", F.array_join(F.try_variant_get(e.value, "$", "array<string>"), "."))
+        text = F.when(e.code == "ST", F.try_variant_get(e.value, "$", "string")).when(e.code == "AR", path)
+        return F.struct(e.key.alias("key"), e.code.alias("code"), text.alias("text"), *([F.to_json(e.value).alias("json")] if with_value else []))
 
-def tops(records: DataFrame) -> DataFrame:
-    """A row for each top key of each record: name, value and its alternative. A string that holds a JSON list is read on as a list in val."""
-    t = _entries(records, "v", "name", "val").drop("v").where("name is not null")
-    t = t.withColumn("alt", _kind(F.col("val")))
-    text = F.when((F.col("alt") == "string"), F.try_variant_get("val", "$", "string"))
-    inner = F.when(F.ltrim(text).startswith("["), F.try_parse_json(text))
-    return t.withColumn("inner", F.when(F.col("alt") == "list", F.col("val")).otherwise(inner))
+    return F.transform(coded, one)
 
 
-def elements(top: DataFrame) -> DataFrame:
-    """A row for each element of each record: the items, all objects, of top-level lists of objects."""
-    e = _items(top.where("inner is not null").select(*FILE, "line_no", "rec", F.col("name").alias("top"), "inner"), "inner", "el").drop("inner")
-    return e.where(F.schema_of_variant("el").startswith("OBJECT"))
+def records(raw: DataFrame, with_value: bool = False) -> DataFrame:
+    """feed, file_no, line_no, rec, tops and els: the distinct lines; tops and els are null where a line holds no JSON object.
 
+    tops: key and code of each top key; els: of each element, an object in a list at the top, the keys with code and text. A string that holds a JSON list is read on as a list.
+    Null lines and rows without feed or file number are left out. Lines delivered twice count once.
+    Lines are spread by line, so that neither a hot feed nor a large file meets in one task; what moves is the text, the most compact form there is.
+    Grouping by all columns keeps all of them in every branch that reads the lines, and unreadable ones are no filter's business that would go
+    below the shuffle: so the branches share the one shuffle, each parsing only what it needs.
+    """
+    lines = raw.where("feed is not null and file_no is not null and body is not null").select(F.coalesce("feed", F.lit("")).alias("feed"), F.coalesce("file_no", F.lit(0)).alias("file_no"), "line_no", F.xxhash64("body").alias("rec"), F.coalesce("body", F.lit("")).alias("body"))
+    lines = lines.repartition(*FILE, "line_no", "rec").distinct()
+    lines = lines.select(*FILE, "line_no", "rec", _coded(F.map_entries(F.try_variant_get(F.try_parse_json("body"), "$", _OBJECT))).alias("top"))
 
-def element_keys(els: DataFrame) -> DataFrame:
-    """A row for each key of each element: key, value, alternative, and its text where it could name a metric."""
-    k = _entries(els, "el", "key", "kv").drop("el").where("key is not null")
-    k = k.withColumn("alt", _kind(F.col("kv")))
-    path = F.try_variant_get("kv", "$", "array<string>")
-    listed = F.schema_of_variant("kv") == "ARRAY<STRING>"
-    return k.withColumn("text", F.when(F.col("alt") == "string", F.try_variant_get("kv", "$", "string")).when(listed, F.array_join(path, ".")))
+    def inner(e: Column) -> Column:
+        text = F.try_variant_get(e.value, "$", "string")
+        return F.when(e.code == "AR", F.try_variant_get(e.value, "$", _LIST)).when((e.code == "ST") & F.ltrim(text).startswith("["), F.try_variant_get(F.try_parse_json(text), "$", _LIST))
 
+    lists = F.filter(F.transform(F.filter("top", lambda e: e.code.isin("AR", "ST")), inner), lambda x: x.isNotNull())
+    lines = lines.select(*FILE, "line_no", "rec", F.transform("top", lambda e: F.struct(e.key.alias("key"), e.code.alias("code"))).alias("tops"), F.flatten(lists).alias("items"))
+    lines = lines.withColumn("items", F.filter(F.transform("items", lambda x: F.try_variant_get(x, "$", _OBJECT)), lambda x: x.isNotNull()))
+    els = F.transform("items", lambda m: _texted(_coded(F.map_entries(m)), with_value))
+    return lines.select(*FILE, "line_no", "rec", "tops", els.alias("els"))
 
-def roles(keys: DataFrame) -> DataFrame:
-    """feed, file_no, key, role: which key of a file's elements holds the values and which the metric names, whatever they are called.
+
+def roles(recs: DataFrame) -> DataFrame:
+    """feed, file_no, value_key, metric_key: which key of a file's elements holds the values and which the metric names, whatever they are called.
 
     The values are under the key that most often holds something else than text or a path. The metric names are under the key
     whose texts differ most within records (a group repeats, labels repeat), METRIC_NAMES and the longer texts deciding ties.
     """
-    per = keys.groupBy(*FILE, "rec", "key").agg(F.count("text").alias("n"), F.count_distinct("text").alias("d"), F.sum(F.when(F.col("text").isNull() & F.col("alt").isNotNull(), 1).otherwise(0)).alias("other"), F.sum(F.length("text")).alias("chars"))
-    per = per.groupBy(*FILE, "key").agg(*[F.sum(c).alias(c) for c in ("n", "d", "other", "chars")])
+    keys = recs.select(*FILE, "line_no", "rec", F.inline(F.flatten("els")))
+    other = F.col("text").isNull() & (F.col("code") != "VO")
+    # by line, where the line lies; then by file
+    texts = keys.groupBy(*FILE, "line_no", "rec", "key", "text").agg(F.count("text").alias("n"), F.sum(other.cast("int")).alias("other"))
+    per = texts.groupBy(*FILE, "key").agg(F.sum("n").alias("n"), F.count("text").alias("d"), F.sum("other").alias("other"), F.sum(F.coalesce(F.length("text"), F.lit(0)) * F.col("n")).alias("chars"))
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
     pick = per.groupBy(*FILE).agg(
         F.max_by("key", F.when(F.col("other") > 0, F.struct("other", "key"))).alias("value_key"),
-        F.max_by("key", F.when(F.col("n") > F.col("other"), F.struct((F.col("d") / F.col("n")).alias("ratio"), F.col("key").isin(*METRIC_NAMES).alias("named"), (F.col("chars") / F.col("n")).alias("len"), "key"))).alias("metric_key"),
+        F.max_by("key", F.when(F.col("n") > F.col("other"), F.struct(share("d").alias("ratio"), F.col("key").isin(*METRIC_NAMES).alias("named"), share("chars").alias("len"), "key"))).alias("metric_key"),
     )
     return pick.where("value_key is not null or metric_key is not null")
 
 
+def _with_roles(recs: DataFrame, raw: DataFrame) -> DataFrame:
+    """recs with the roles of their files' keys. There is at most one row a file, so the files, counted from two columns, tell whether the roles are few enough to be broadcast."""
+    few = raw.select(*FILE).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = roles(recs)
+    return recs.join(F.broadcast(found) if few else found, FILE, "left")
+
+
 def fields(raw: DataFrame) -> DataFrame:
     """The fused schema of each file: feed, file_no, records, level ('top' | 'element' | 'metric'), field, holders, and types, the count of each alternative.
 
-    Every field of a file is listed, however few records hold it.
+    Every field of a file is listed, however few records hold it. Each line becomes a list of (level, field, alternative); what is counted is added up by
+    line and then by file before it moves.
     """
-    records = readable(raw)
-    top = tops(records)
-    keys = element_keys(elements(top))
-    size = records.groupBy(*FILE).agg(F.count("*").alias("records"))
-    role = roles(keys)
-    held = keys.join(role, FILE, "left")
-    value, name = F.col("key") == F.col("value_key"), F.col("key") == F.col("metric_key")
-    # an element's metric and value, brought together again
-    pairs = held.where(value | name).groupBy(*FILE, "rec", "line_no", "top", "item_no").agg(F.max(F.when(name, F.col("text"))).alias("field"), F.max(F.when(value, F.col("alt"))).alias("alt"))
-    seen = top.select(*FILE, "line_no", "rec", F.lit("top").alias("level"), F.col("name").alias("field"), "alt")
-    seen = seen.unionByName(held.select(*FILE, "line_no", "rec", F.lit("element").alias("level"), F.concat(F.lit("element."), "key").alias("field"), F.when(F.coalesce(value, F.lit(False)), None).otherwise(F.col("alt")).alias("alt")))
-    seen = seen.unionByName(pairs.where("field is not null").select(*FILE, "line_no", "rec", F.lit("metric").alias("level"), F.concat(F.lit("metric."), "field").alias("field"), "alt"))
+    of = lambda e, key, what: F.get(F.filter(e, lambda k: k.key == F.col(key)), F.lit(0)).getField(what)
+    row = lambda level, field, code: F.struct(F.lit(level).alias("level"), field.alias("field"), code.alias("code"))
+    none = F.lit(None).cast("string")
+    held = _with_roles(records(raw), raw)
+    top = F.transform("tops", lambda t: row("top", t.key, t.code))
+    # the key of the values has no type of its own
+    key = F.transform(F.flatten("els"), lambda k: row("element", F.concat(F.lit("element."), k.key), F.when(~k.key.eqNullSafe(F.col("value_key")), k.code)))
+    metric = F.transform("els", lambda e: row("metric", F.concat(F.lit("metric."), of(e, "metric_key", "text")), of(e, "value_key", "code")))
+    whole = F.array(row("", F.lit(""), none))
+    seen = held.select(*FILE, "line_no", "rec", F.inline(F.concat(whole, top, key, F.filter(metric, lambda m: m.field.isNotNull()))))
     # by line first, so that a line counts once however many elements hold the field
-    count = {t: F.sum(F.when(F.col("alt") == t, 1).otherwise(0)) for t in TYPES}
-    lines = seen.groupBy(*FILE, "level", "field", "line_no", "rec").agg(*[c.alias(t) for t, c in count.items()])
+    of_type = lambda t: F.col("code").isin(*[c for c, x in CODES.items() if x == t])
+    lines = seen.groupBy(*FILE, "level", "field", "line_no", "rec").agg(*[F.sum(F.when(of_type(t), 1).otherwise(0)).alias(t) for t in TYPES])
     per = lines.groupBy(*FILE, "level", "field").agg(F.count("*").alias("holders"), *[F.sum(t).alias(t) for t in TYPES])
-    return per.join(size, FILE).select(*FILE, "records", "level", "field", "holders", *TYPES)
+    per = per.withColumn("records", F.max(F.when(F.col("level") == "", F.col("holders"))).over(Window.partitionBy(*FILE)))
+    return per.where("level <> ''").select(*FILE, "records", "level", "field", "holders", *TYPES)
 
 
 def changes(fused: DataFrame) -> DataFrame:
@@ -115,9 +122,8 @@ def changes(fused: DataFrame) -> DataFrame:
     one level are paired into renames in the order of their likeness: same type, then alike names. A feed's first file brings no change.
     """
     # numbers of the files, from one small row each
-    files = fused.select(*FILE).distinct()
     order = Window.partitionBy("feed").orderBy("file_no")
-    files = files.withColumn("at", F.row_number().over(order))
+    files = fused.select(*FILE).distinct().select(*FILE, F.row_number().over(order).alias("at"), F.lead("file_no").over(order).alias("next_file"))
     of = Window.partitionBy("feed", "level", "field").orderBy("at")
     there = fused.where(F.col("holders") * 2 > F.col("records")).join(files, FILE)
     counts = F.array(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])
@@ -127,33 +133,45 @@ def changes(fused: DataFrame) -> DataFrame:
     there = there.withColumn("type", F.when(F.array_contains("tied", F.col("known")), F.col("known")).otherwise(F.col("first")))
     there = there.withColumn("old", F.last("type", True).over(of.rowsBetween(Window.unboundedPreceding, -1)))
     there = there.withColumn("prev", F.lag("at").over(of)).withColumn("next", F.lead("at").over(of)).withColumn("now", F.coalesce("type", "old"))
-    last = files.groupBy("feed").agg(F.max("at").alias("end"))
-    retyped = there.where((F.col("prev") == F.col("at") - 1) & (F.col("type") != F.col("old"))).select("feed", "at", F.lit("retyped").alias("change_kind"), F.col("field").alias("field_name"), F.lit(None).cast("string").alias("old_name"), F.col("old").alias("old_type"), F.col("type").alias("new_type"))
-    came = there.where((F.col("at") > 1) & (F.col("prev").isNull() | (F.col("prev") < F.col("at") - 1))).select("feed", "at", "level", F.struct("field", "now").alias("new"))
-    went = there.join(last, "feed").where((F.col("at") < F.col("end")) & (F.col("next").isNull() | (F.col("next") > F.col("at") + 1))).select("feed", (F.col("at") + 1).alias("at"), "level", F.struct("field", "now").alias("gone"))
-    both = came.groupBy("feed", "at", "level").agg(F.sort_array(F.collect_list("new")).alias("new")).join(went.groupBy("feed", "at", "level").agg(F.sort_array(F.collect_list("gone")).alias("gone")), ["feed", "at", "level"], "full")
-    moved = both.select("feed", "at", F.inline(_paired(F.col("gone"), F.col("new"))))
-    return moved.unionByName(retyped).join(files, ["feed", "at"]).select("feed", "file_no", "change_kind", "field_name", "old_name", "old_type", "new_type")
+    # what each field does in its file and the one after it: one pass, one list per file and level
+    event = lambda kind, file_no, when: F.when(when, F.struct(F.lit(kind).alias("kind"), file_no.alias("file_no"), "field", F.col("now"), F.col("old")))
+    retyped = event("retyped", F.col("file_no"), (F.col("prev") == F.col("at") - 1) & (F.col("type") != F.col("old")))
+    came = event("came", F.col("file_no"), (F.col("at") > 1) & (F.col("prev").isNull() | (F.col("prev") < F.col("at") - 1)))
+    went = event("went", F.col("next_file"), F.col("next_file").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("at") + 1)))
+    events = there.select("feed", "level", F.inline(F.filter(F.array(retyped, came, went), lambda e: e.isNotNull())))
+    listed = lambda kind, *what: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(*what)))).alias(kind)
+    by_file = events.groupBy("feed", "file_no", "level").agg(listed("retyped", "field", "now", "old"), listed("came", "field", "now"), listed("went", "field", "now"))
+    return _told(by_file).select("feed", "file_no", "change_kind", "field_name", "old_name", "old_type", "new_type")
 
 
-def _paired(gone: Column, new: Column) -> Column:
-    """Changes of one level of one file, from its sorted lists of (field, type) that went and came. Both are bounded by the fields of a file.
+def _row(kind: str, name: Column, old: Column, old_type: Column, new_type: Column) -> Column:
+    return F.struct(F.lit(kind).alias("change_kind"), name.alias("field_name"), old.alias("old_name"), old_type.alias("old_type"), new_type.alias("new_type"))
 
-    The unmatched pair most alike is taken again and again, as often as the shorter list is long.
-    """
-    empty = F.array().cast("array<struct<field:string,now:string>>")
-    g, n = F.coalesce(gone, empty), F.coalesce(new, empty)
-    pair = "struct<far:int,g:struct<field:string,now:string>,n:struct<field:string,now:string>>"
-    far = lambda a, b: F.levenshtein(a.field, b.field) + F.when(a.now.eqNullSafe(b.now), 0).otherwise(1000)
-    all_pairs = F.array_sort(F.flatten(F.transform(g, lambda a: F.transform(n, lambda b: F.struct(far(a, b).cast("int").alias("far"), a.alias("g"), b.alias("n"))))))
+
+def _alike(gone: Column, new: Column, same: bool) -> Column:
+    """Renames among the fields that went and came, of the same type or of different ones: the unmatched pair most alike is taken again and again."""
+    far = lambda a, b: F.struct(F.levenshtein(a.field, b.field).alias("far"), a.alias("g"), b.alias("n"))
+    pairs = F.array_sort(F.flatten(F.transform(gone, lambda a: F.transform(F.filter(new, lambda b: a.now.eqNullSafe(b.now) == F.lit(same)), lambda b: far(a, b)))))
     free = lambda taken, p: ~F.exists(taken, lambda q: (q.g.field == p.g.field) | (q.n.field == p.n.field))
-    taken = F.aggregate(all_pairs, F.array().cast(f"array<{pair}>"), lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
+    none = F.array().cast("array<struct<far:int,g:struct<field:string,now:string>,n:struct<field:string,now:string>>>")
+    return F.aggregate(pairs, none, lambda acc, p: F.when(free(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
+
+
+def _told(by_file: DataFrame) -> DataFrame:
+    """The changes of each file and level, from its sorted lists of fields that were retyped, came and went. All are bounded by the fields of a file.
+
+    Fields of one type are compared first; only what is left over, at most one side of each type, is compared across types.
+    """
+    rest = lambda side, taken, s: F.filter(side, lambda a: ~F.exists(taken, lambda q: q[s]["field"] == a.field))
+    d = by_file.withColumn("first", _alike(F.col("went"), F.col("came"), True))
+    d = d.withColumns({"went": rest("went", "first", "g"), "came": rest("came", "first", "n")})
+    d = d.withColumn("second", _alike(F.col("went"), F.col("came"), False))
     none = F.lit(None).cast("string")
-    row = lambda kind, name, old, a, b: F.struct(F.lit(kind).alias("change_kind"), name.alias("field_name"), old.alias("old_name"), a.alias("old_type"), b.alias("new_type"))
-    renamed = F.transform(taken, lambda p: row("renamed", p.n.field, p.g.field, p.g.now, p.n.now))
-    removed = F.transform(F.filter(g, lambda a: ~F.exists(taken, lambda q: q.g.field == a.field)), lambda a: row("removed", a.field, none, a.now, none))
-    added = F.transform(F.filter(n, lambda b: ~F.exists(taken, lambda q: q.n.field == b.field)), lambda b: row("added", b.field, none, none, b.now))
-    return F.concat(renamed, removed, added)
+    renamed = F.transform(F.concat("first", "second"), lambda p: _row("renamed", p.n.field, p.g.field, p.g.now, p.n.now))
+    removed = F.transform(rest("went", "second", "g"), lambda a: _row("removed", a.field, none, a.now, none))
+    added = F.transform(rest("came", "second", "n"), lambda b: _row("added", b.field, none, none, b.now))
+    same = F.transform("retyped", lambda r: _row("retyped", r.field, none, r.old, r.now))
+    return d.select("feed", "file_no", F.inline(F.concat(renamed, removed, added, same)))
 
 
 def readings(raw: DataFrame) -> DataFrame:
@@ -164,11 +182,11 @@ def readings(raw: DataFrame) -> DataFrame:
     sign, mark or unit, of objects their field n or value, of lists the total count (last part of each item); null where there is none.
     Conflicting types are kept apart in the branches and never drop a row.
     """
-    records = readable(raw)
-    keys = element_keys(elements(tops(records)))
-    held = keys.join(roles(keys), FILE)
-    value, name = F.col("key") == F.col("value_key"), F.col("key") == F.col("metric_key")
-    one = held.where(value | name).groupBy(*FILE, "line_no", "rec", "top", "item_no").agg(F.max(F.when(name, F.col("text"))).alias("metric"), F.max(F.when(value, F.col("alt"))).alias("alternative"), F.max(F.when(value, F.to_json("kv"))).alias("json"))
+    held = _with_roles(records(raw, with_value=True), raw)
+    of = lambda key, what: F.get(F.filter("el", lambda k: k.key == F.col(key)), F.lit(0)).getField(what)
+    one = held.select(*FILE, "line_no", "value_key", "metric_key", F.posexplode("els").alias("item_no", "el"))
+    one = one.where(F.exists("el", lambda k: (k.key == F.col("value_key")) | (k.key == F.col("metric_key"))))
+    one = one.select(*FILE, "line_no", "item_no", of("metric_key", "text").alias("metric"), _alternative(of("value_key", "code")).alias("alternative"), of("value_key", "json").alias("json"))
     v = F.try_parse_json("json")
     text = F.when(F.col("alternative") == "string", F.try_variant_get(v, "$", "string"))
     number = F.when(F.col("alternative") == "number", F.try_variant_get(v, "$", "double"))
