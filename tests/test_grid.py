@@ -54,3 +54,12 @@ def test_gap_of_exactly_the_limit_is_filled_and_a_longer_one_is_not(spark):
 
 def test_empty(spark):
     assert regular_grid(spark.createDataFrame([], SCHEMA), ["host", "metric"]).count() == 0
+
+
+def test_both_sides_of_the_join_read_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([("h", "m", i * 7_000, float(i), i, 5_000, "") for i in range(50)], "host string, metric string, tp_ms bigint, v double, element_id bigint, interval_ms bigint, status string").write.parquet(str(tmp_path / "r"))
+    df = regular_grid(spark.read.parquet(str(tmp_path / "r")), ["host", "metric"])
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # the second mention is that of the reuse
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1 and final.count("Exchange hashpartitioning") == 2
