@@ -1,8 +1,9 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tsq.operators.rolling import DAY_MS, correct, daily, rolling_totals, tree, trailing
+from tsq.operators.rolling import DAY_MS, corrected, daily, rolling_totals, store, stored, trailing, tree
 
 SCHEMA = "host string, tp_ms bigint, v double, element_id bigint, day string, total string"
 
@@ -46,18 +47,32 @@ def test_zero_is_activity_and_one_day_is_a_series(spark):
     assert [(x.n_day, x.total_7, x.n_30, x.avg_30) for x in r] == [(1, 0.0, 1, 0.0)]
 
 
-def test_late_corrections_touch_only_ancestors(spark):
+def test_late_corrections_touch_only_ancestors(spark, tmp_path):
     rows = make()
     early, late = spark.createDataFrame(rows[:120], SCHEMA), spark.createDataFrame([r for r in rows[120:] if r[3] >= 120], SCHEMA)
-    whole = spark.createDataFrame(rows, SCHEMA)
-    nodes = correct(tree(daily(early, "host")), daily(late, "host"))
-    leaves = {(r.entity, r.day) for r in daily(late, "host").collect()}
-    touched = {(r.entity, r.level, r.node) for r in nodes.where("touched").collect()}
-    assert touched == {(e, k, d >> k) for e, d in leaves for k in range(6)}
-    days = daily(whole, "host")
-    assert collect(trailing(days, nodes)) == collect(trailing(days, tree(days)))
+    days = daily(spark.createDataFrame(rows, SCHEMA), "host")
     key = ["entity", "level", "node", "n", F.round("total", 6).alias("total")]
-    assert sorted(nodes.select(*key).collect()) == sorted(tree(days).select(*key).collect())
+    want = sorted(tree(days).select(*key).collect())
+    assert sorted(corrected(tree(daily(early, "host")), daily(late, "host")).select(*key).collect()) == want
+    # stored: what the correction writes are the ancestors of its days, in the shards of these
+    d = str(tmp_path / "trees")
+    store(tree(daily(early, "host")), d)
+    before = {f.name for f in Path(d).rglob("*.parquet")}
+    store(tree(daily(late, "host")), d)
+    new = [str(f) for f in Path(d).rglob("*.parquet") if f.name not in before]
+    written = {(r.entity, r.level, r.node) for r in spark.read.parquet(*new).collect()}
+    assert written == {(r.entity, k, r.day >> k) for r in daily(late, "host").collect() for k in range(6)}
+    assert sorted(stored(spark, d).select(*key).collect()) == want
+    part = stored(spark, d, 0, 31)
+    assert "PartitionFilters: [isnotnull(shard" in part._jdf.queryExecution().executedPlan().toString()
+    assert {r.node >> (5 - r.level) for r in part.collect()} == {0}
+    assert collect(trailing(days, stored(spark, d))) == collect(trailing(days, tree(days)))
+
+
+def test_one_wrong_date_makes_its_days_in_many_tasks(spark):
+    rows = [("z", 0, 1.0, 1, "", ""), ("z", 400_000 * DAY_MS, 1.0, 2, "", "")]
+    r = rolling_totals(spark.createDataFrame(rows, SCHEMA), "host")
+    assert r.count() == 400_001 and r.where("n_30 > 0").count() == 31
 
 
 def test_empty(spark):

@@ -1,6 +1,6 @@
 """Rolling totals over trailing periods, from segment trees over the days of each entity."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Levels of the trees: a time shard has 2**LEVELS days.
@@ -28,16 +28,27 @@ def tree(days: DataFrame, levels: int = LEVELS) -> DataFrame:
     return up.groupBy("entity", "level", F.expr("shiftright(day, level)").alias("node")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def correct(nodes: DataFrame, late: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """nodes after late corrections (entity, day, total and n to add): only the ancestors of corrected leaves are written anew.
+def corrected(nodes: DataFrame, late: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """nodes after late corrections: the days' totals and n to add, as daily() gives them. Sums and counts add up, so only the ancestors of the corrected days get an addition."""
+    both = nodes.select("entity", "level", "node", "total", "n").unionByName(tree(late, levels))
+    return both.groupBy("entity", "level", "node").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
-    The others pass through unchanged, marked by touched = false.
-    """
-    delta = tree(late, levels).select("entity", "level", "node", F.col("total").alias("dt"), F.col("n").alias("dn"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return nodes.join(delta, ["entity", "level", "node"], "full").select(
-        "entity", "level", "node", (zero("total") + zero("dt")).cast("double").alias("total"), (zero("n") + zero("dn")).cast("bigint").alias("n"), F.col("dn").isNotNull().alias("touched")
-    )
+
+def store(nodes: DataFrame, directory: str, levels: int = LEVELS) -> None:
+    """Writes trees to a directory, or adds to those there: Parquet by time shard. To correct stored trees, store tree(late): what is written are the ancestors of the
+    corrected days and nothing else; reading adds them up."""
+    shard = F.expr(f"shiftright(shiftleft(node, level), {levels})")
+    nodes.select("entity", "level", "node", "total", "n", shard.alias("shard")).repartition("shard", "entity").sortWithinPartitions("shard", "entity", "level", "node").write.mode("append").partitionBy("shard").parquet(directory)
+
+
+def stored(spark: SparkSession, directory: str, first: int | None = None, last: int | None = None, levels: int = LEVELS) -> DataFrame:
+    """The nodes of stored trees with all additions, of the time shards that hold the days first..last; other shards aren't read."""
+    n = spark.read.parquet(directory)
+    if first is not None:
+        n = n.where(F.col("shard") >= first >> levels)
+    if last is not None:
+        n = n.where(F.col("shard") <= last >> levels)
+    return n.groupBy("entity", "level", "node").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def _ends(first: Column, last: Column, level: int) -> tuple[Column, Column]:
@@ -62,12 +73,17 @@ def _cover(first: Column, last: Column, levels: int) -> Column:
 def trailing(days: DataFrame, nodes: DataFrame, periods: tuple[int, ...] = (7, 30), levels: int = LEVELS) -> DataFrame:
     """For each entity and day between its first and last, the totals, counts and averages of the trailing periods, the day included.
 
-    The sequence of days is generated per entity; each period of a day becomes a range query, answered by joining its covering
+    The sequence of days is generated per entity and time shard, over all tasks, so that neither many entities nor one with a long span (as by a wrong date) makes
+    the days of all in one task; each period of a day becomes a range query, answered by joining its covering
     nodes with the trees (at most two a level). Columns: entity, day, n_day, and per period p total_p, n_p, avg_p (null without readings).
     Days without activity have n_day 0. No rows in, no rows out.
     """
     span = days.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    grid = span.select("entity", F.explode(F.sequence("a", "b")).alias("day"))
+    # a number of partitions that is named isn't merged for the few bytes that arrive
+    parts = int(days.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = span.select("entity", "a", "b", F.explode(F.expr(f"sequence(shiftright(a, {levels}), shiftright(b, {levels}))")).alias("shard")).repartition(parts, "entity", "shard")
+    begin = F.expr(f"shiftleft(shard, {levels})")
+    grid = shards.select("entity", F.explode(F.sequence(F.greatest("a", begin), F.least("b", begin + ((1 << levels) - 1)))).alias("day"))
     asked = F.array(F.struct(F.lit(0).alias("period"), F.array(F.struct(F.lit(0).alias("level"), F.col("day").alias("node"))).alias("nodes")), *[F.struct(F.lit(p).alias("period"), _cover(F.col("day") - (p - 1), F.col("day"), levels).alias("nodes")) for p in periods])
     q = grid.select("entity", "day", F.inline(asked)).select("entity", "day", "period", F.inline("nodes"))
     hit = q.join(nodes.select("entity", "level", "node", "total", "n"), ["entity", "level", "node"], "left")

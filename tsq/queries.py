@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tsq.operators import drift
 from tsq.operators.grid import regular_grid
 from tsq.operators.readings import catalog, usable_readings
-from tsq.operators.rolling import rolling_totals
+from tsq.operators.rolling import corrected, daily, rolling_totals, trailing, tree
 from tsq.operators.spikes import implausible
 from tsq.sources.tables import broadcast_if_small, cut, table
 
@@ -58,17 +58,30 @@ def _work(spark: SparkSession, d: str) -> DataFrame:
     return usable_readings(table(spark, d, "collection_elements")).where("grp = 'batch.worker' and metric = 'work.done'")
 
 
-def p6_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = rolling_totals(_work(spark, d), "host")
+def _told(t: DataFrame) -> DataFrame:
     return t.select(F.col("entity").alias("host"), F.date_from_unix_date(F.col("day").cast("int")).cast("string").alias("day_utc"), "n_day", F.round("total_7", 6).alias("total_7"), "n_7", F.round("avg_7", 9).alias("avg_7"), F.round("total_30", 6).alias("total_30"), "n_30", F.round("avg_30", 9).alias("avg_30"))
 
 
+def p6_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _told(rolling_totals(_work(spark, d), "host"))
+
+
+def p6_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The same totals, from trees of what was there in time and corrections by what came more than six hours late."""
+    e = table(spark, d, "collection_elements").where("grp = array('batch', 'worker') and metric = array('work', 'done')")
+    late = F.coalesce(F.unix_millis(F.col("received_at").cast("timestamp")) - F.col("tp_ms") > 6 * 3_600_000, F.lit(False))
+    first, then = (daily(usable_readings(e.where(c)), "host") for c in (~late, late))
+    nodes = corrected(tree(first), then)
+    leaves = nodes.where("level = 0").select("entity", F.col("node").alias("day"), "total", "n")
+    return _told(trailing(leaves, nodes))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_totals(spark, d).where("n_day = 0 and n_7 > 0").select("host", "day_utc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_changes, p3_fields, p3_readings, p4_found, p4_flags, p6_found, p6_totals)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_changes, p3_fields, p3_readings, p4_found, p4_flags, p6_found, p6_totals, p6_corrected)}
 
 
 #: Usable readings, as a common table expression.
@@ -102,6 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_grid": _GRID + """select host, metric, pos as slot_ms, case when pos = slot then 'observed' when pos - slot <= 10 * step then 'filled' else 'missing' end status,
             case when pos - slot <= 10 * step then x end as value, case when pos = slot then 0 else pos - l end::bigint age_ms from g""",
         "p6_found": _ROLL + "select host, cast(date '1970-01-01' + day::int as varchar) day_utc from t where n_day = 0 and n_7 > 0",
-        "p6_totals": _ROLL + """select host, cast(date '1970-01-01' + day::int as varchar) day_utc, n_day, round(total_7, 6) total_7, n_7, round(if(n_7 > 0, total_7 / n_7, null), 9) avg_7,
-            round(total_30, 6) total_30, n_30, round(if(n_30 > 0, total_30 / n_30, null), 9) avg_30 from t""",
+        **dict.fromkeys(("p6_totals", "p6_corrected"), _ROLL + """select host, cast(date '1970-01-01' + day::int as varchar) day_utc, n_day, round(total_7, 6) total_7, n_7, round(if(n_7 > 0, total_7 / n_7, null), 9) avg_7,
+            round(total_30, 6) total_30, n_30, round(if(n_30 > 0, total_30 / n_30, null), 9) avg_30 from t"""),
     }
