@@ -23,7 +23,7 @@ def elements(spark, tmp_path, values):
 
 def test_texts_of_all_kinds_read_back(spark, tmp_path):
     d = elements(spark, tmp_path, ORDERED)
-    texts = {r.element_id: r.text for r in own.queries()["value_text_all"](spark, d).collect()}
+    texts = {r.element_id: r.text for r in own.queries()["value_text"](spark, d).collect()}
     assert sorted(texts) == [*range(len(ORDERED))]
     for i, x in enumerate(ORDERED):
         if x is None or isinstance(x, float) and not math.isfinite(x):
@@ -31,7 +31,7 @@ def test_texts_of_all_kinds_read_back(spark, tmp_path):
         else:
             got = ps.parse_value(texts[i])
             assert got == (tuple(x) if isinstance(x, list) else x) and (isinstance(x, list) or type(got) is type(x)), texts[i]
-    of_histograms = {r.element_id: r.text for r in own.queries()["hist_text_all"](spark, d).collect()}
+    of_histograms = {r.element_id: r.text for r in own.queries()["hist_text"](spark, d).collect()}
     assert of_histograms == {i: texts[i] for i, x in enumerate(ORDERED) if isinstance(x, list)}
 
 
@@ -41,7 +41,7 @@ def test_order_of_all_kinds(spark, tmp_path):
         a, b = sorted(rnd.sample(range(len(ORDERED)), 2)) if n else (0, len(ORDERED) - 1)
         some = ORDERED[a : b + 1]
         d = elements(spark, tmp_path / str(n), rnd.sample(some, len(some)))
-        r = own.queries()["value_order_all"](spark, d).first()
+        r = own.queries()["value_order"](spark, d).first()
         e = spark.read.parquet(d + "/collection_elements.parquet").select("value")
         texts = {str(constant(x.value)): x.t for x in e.select("value", own.tx.value(F.col("value")).alias("t")).collect()}
         kinds = [mv(x)[0] for x in (some[0], some[-1])]
@@ -79,7 +79,7 @@ def by_series(rows):
 
 def test_a_constant_meets_a_vector_at_every_time_of_the_table(spark, tmp_path):
     rows = some_events(5 * 24 * own.HOUR, 700, 6)
-    got = {(r.tp_ms - own.JAN_1, r.user_id): r.v for r in own.queries()["align_interpolate_constant_all"](spark, events(spark, tmp_path, rows)).collect()}
+    got = {(r.tp_ms - own.JAN_1, r.user_id): r.v for r in own.queries()["align_interpolate_constant"](spark, events(spark, tmp_path, rows)).collect()}
     want = {(t, u): 2 * v for (e, u), s in by_series(rows).items() if e == "signup" for t in {r[0] for r in rows} if (v := at_time(s, t, own.HOUR // 2)) is not None}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
     assert len(want) > sum(e == "signup" for _, e, *_ in rows) and max(t for t, _ in want) > 4 * 24 * own.HOUR
@@ -89,7 +89,7 @@ def test_grids_cover_the_whole_table(spark, tmp_path):
     rows = some_events(12 * 24 * own.HOUR, 900, 7)
     d = events(spark, tmp_path, rows)
     first, last = min(rows)[0], max(rows)[0]
-    for name, step, slack, plus, kinds in (("resample_grid_all", 7, 12, 0, ("signup", "view")), ("expression_grid_all", 4, 8, 1, ("view",))):
+    for name, step, slack, plus, kinds in (("resample_grid", 7, 12, 0, ("signup", "view")), ("expression_grid", 4, 8, 1, ("view",))):
         r = own.queries()[name](spark, d).collect()
         got = {(x.tp_ms - own.JAN_1, x.event_type if "event_type" in x else "view", x.user_id): x.v for x in r}
         grid = {*range(first, last + 1, step * own.HOUR), last}

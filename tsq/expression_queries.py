@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsq import platform_queries as pq
 from tsq.functions import histogram as hg
 from tsq.functions import text as tx
 from tsq.functions import values as va
@@ -36,7 +37,7 @@ def _user() -> Column:
 
 def _events(text: str, time: TimeRange = TimeRange(), slack: int = 0, value: Callable[[Column], Column] = _num) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        r = compiler.evaluate(sm.of_events(spark, d), text, time, slack)
+        r = compiler.evaluate(sm.wide_events(spark, d), text, time, slack)
         return r.select("tp_ms", _user(), value(F.col("value")))
 
     return run
@@ -96,7 +97,7 @@ _FILTERS = {
 
 def _lineitem(text: str, value: Callable[[Column], Column] = _num) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        r = compiler.evaluate(sm.of_lineitem(spark, d), text, slack=0)
+        r = compiler.evaluate(sm.wide_lineitem(spark, d), text, slack=0)
         return r.select("tp_ms", tag_value(F.col("tags"), "flag").getField("s").alias("flag"), tag_value(F.col("tags"), "status").getField("s").alias("status"), value(F.col("value")))
 
     return run
@@ -121,16 +122,11 @@ _JOINS = {
 
 
 def _align_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _events("app.view::value + app.click::value", slack=HOUR)(spark, d)
+    return _events("app.view::value + app.click::value", slack=24 * HOUR)(spark, d)
 
 
 def _align_constant(spark: SparkSession, d: str) -> DataFrame:
     """A constant is defined at every scrape time, so the vector is interpolated at all of them."""
-    return _events("app.signup::value * 2", TimeRange(JAN_1, JAN_1 + 24 * HOUR), slack=HOUR // 2)(spark, d)
-
-
-def _align_constant_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same at all scrape times of the table."""
     return _events("app.signup::value * 2", slack=HOUR // 2)(spark, d)
 
 
@@ -154,17 +150,8 @@ def _series(r: DataFrame) -> DataFrame:
     return r.select("tp_ms", F.get("grp", F.lit(1)).alias("event_type"), _user(), F.array_join("metric", ".").alias("metric"), _num(F.col("value")))
 
 
-def _resample_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A grid whose last step is shorter."""
-    return _series(sm.emit(sm.of_events(spark, d), TimeRange(JAN_1 + HOUR, JAN_1 + 100 * HOUR, 7 * HOUR), slack=12 * HOUR, metric=parse_path_matcher("value")))
-
-
 def _range_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _series(sm.emit(sm.of_events(spark, d), TimeRange(JAN_1 + 48 * HOUR, JAN_1 + 60 * HOUR), slack=6 * HOUR, metric=parse_path_matcher("value")))
-
-
-def _expression_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _events("app.view::value + 1", TimeRange(JAN_1, JAN_1 + 200 * HOUR, 4 * HOUR), slack=8 * HOUR)(spark, d)
+    return _series(sm.emit(sm.wide_events(spark, d), TimeRange(JAN_1 + 48 * HOUR, JAN_1 + 60 * HOUR), slack=6 * HOUR, metric=parse_path_matcher("value")))
 
 
 def _whole_range(spark: SparkSession, d: str, interval: int) -> TimeRange:
@@ -173,21 +160,21 @@ def _whole_range(spark: SparkSession, d: str, interval: int) -> TimeRange:
     return TimeRange(0, 0, interval) if first is None else TimeRange(first, last, interval + ((last - first) % interval == 0))
 
 
-def _resample_grid_all(spark: SparkSession, d: str) -> DataFrame:
-    return _series(sm.emit(sm.of_events(spark, d), _whole_range(spark, d, 7 * HOUR), slack=12 * HOUR, metric=parse_path_matcher("value")))
+def _resample_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _series(sm.emit(sm.wide_events(spark, d), _whole_range(spark, d, 7 * HOUR), slack=12 * HOUR, metric=parse_path_matcher("value")))
 
 
-def _expression_grid_all(spark: SparkSession, d: str) -> DataFrame:
+def _expression_grid(spark: SparkSession, d: str) -> DataFrame:
     return _events("app.view::value + 1", _whole_range(spark, d, 4 * HOUR), slack=8 * HOUR)(spark, d)
 
 
 def _scan_range(spark: SparkSession, d: str) -> DataFrame:
-    s = sm.emit(sm.of_events(spark, d), TimeRange(JAN_1 + 24 * HOUR, JAN_1 + 48 * HOUR), parse_path_matcher("app.**"), parse_tag_matcher("{user}"), parse_path_matcher("*"))
+    s = sm.emit(sm.wide_events(spark, d), TimeRange(JAN_1 + 24 * HOUR, JAN_1 + 48 * HOUR), parse_path_matcher("app.**"), parse_tag_matcher("{user}"), parse_path_matcher("*"))
     return _series(s)
 
 
 def _emit_time(spark: SparkSession, d: str) -> DataFrame:
-    return sm.emit_time(sm.of_events(spark, d), TimeRange(JAN_1, JAN_1 + 24 * HOUR), HOUR)
+    return sm.emit_time(sm.wide_events(spark, d), TimeRange(JAN_1, JAN_1 + 24 * HOUR), HOUR)
 
 
 def _count_scrapes(spark: SparkSession, d: str) -> DataFrame:
@@ -225,17 +212,17 @@ def _merge_collections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    r = compiler.evaluate(sm.of_orders(spark, d), 'orders{status="F", priority}::totalprice / 1000', slack=0)
+    r = compiler.evaluate(sm.wide_orders(spark, d), 'orders{status="F", priority}::totalprice / 1000', slack=0)
     return r.select("tp_ms", tag_value(F.col("tags"), "cust").getField("i").alias("cust"), tag_value(F.col("tags"), "priority").getField("s").alias("priority"), _num(F.col("value")))
 
 
 def _alert_status(spark: SparkSession, d: str) -> DataFrame:
-    f = compiler.evaluate(sm.of_events(spark, d), "app.purchase::value > 40", slack=0)
+    f = compiler.evaluate(sm.wide_events(spark, d), "app.purchase::value > 40", slack=0)
     return al.alerts(f, _user().cast("string")).select("name", "tp_ms", "state", "attributes")
 
 
 def _alert_extend(spark: SparkSession, d: str) -> DataFrame:
-    f = compiler.evaluate(sm.of_events(spark, d), "app.purchase::value > 40", slack=0)
+    f = compiler.evaluate(sm.wide_events(spark, d), "app.purchase::value > 40", slack=0)
     return al.extend(al.alerts(f, _user().cast("string")), fire_after_ms=12 * HOUR).select("name", "state", "since", "duration")
 
 
@@ -243,7 +230,7 @@ def _rules(spark: SparkSession, d: str) -> DataFrame:
     rules = al.Rules()
     for e in ("view", "error"):
         rules.add(f"high {e}", lambda s, e=e: al.alerts(compiler.evaluate(s, f"app.{e}::value > 95", slack=0), F.lit(e)))
-    return rules.run(sm.of_events(spark, d)).where(F.col("state") == "TRIGGERING").groupBy("rule").agg(F.count("*").alias("alerts"))
+    return rules.run(sm.wide_events(spark, d)).where(F.col("state") == "TRIGGERING").groupBy("rule").agg(F.count("*").alias("alerts"))
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -252,26 +239,14 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
 
 def _coercions(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    return _values(spark, d).where("value.kind <> 6").select("element_id", va.as_bool(v).alias("truth"), F.round(va.as_double(v), 6).alias("number"), va.as_string(v).alias("string"))
+    return _values(spark, d).select("element_id", va.as_bool(v).alias("truth"), F.round(va.as_double(v), 6).alias("number"), va.as_string(v).alias("string"))
 
 
 def _value_text(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, d).where("value.kind <> 4 and value.kind <> 6").select("element_id", tx.value(F.col("value")).alias("text"))
-
-
-def _value_order(spark: SparkSession, d: str) -> DataFrame:
-    """The least and greatest value of each metric in the weak order across kinds."""
-    e = table(spark, d, "collection_elements").where("value.kind <> 6 and not (value.kind = 4 and isnan(value.d))")
-    k = F.struct(va.sort_key(F.col("value")).alias("k"), F.col("value"))
-    g = e.groupBy(F.array_join("grp", ".").alias("grp"), F.array_join("metric", ".").alias("metric")).agg(F.min(k).alias("a"), F.max(k).alias("b"))
-    return g.select("grp", "metric", F.col("a.value.kind").cast("int").alias("least_kind"), va.as_double(F.col("b.value")).alias("greatest"), F.col("b.value.s").alias("greatest_text"))
-
-
-def _value_text_all(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).select("element_id", tx.value(F.col("value")).alias("text"))
 
 
-def _value_order_all(spark: SparkSession, d: str) -> DataFrame:
+def _value_order(spark: SparkSession, d: str) -> DataFrame:
     """The least and greatest value of each metric in the weak order, of values of all kinds."""
     e = table(spark, d, "collection_elements").where("value is not null")
     k = F.struct(va.sort_key(F.col("value")).alias("k"), F.col("value"))
@@ -314,11 +289,6 @@ def _hist_running(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hist_text(spark: SparkSession, d: str) -> DataFrame:
-    whole = F.forall("h", lambda r: (r.lo == F.rint(r.lo)) & (r.hi == F.rint(r.hi)) & (r.cnt == F.rint(r.cnt)))
-    return _histograms(spark, d).where(whole).select("element_id", hg.text(F.col("h")).alias("text"))
-
-
-def _hist_text_all(spark: SparkSession, d: str) -> DataFrame:
     return _histograms(spark, d).select("element_id", hg.text(F.col("h")).alias("text"))
 
 
@@ -336,8 +306,6 @@ def queries() -> dict[str, Query]:
         "hist_stats": _hist_stats, "hist_scale": _hist_op(lambda v: va.multiply(v, va.literal(3))), "hist_divide": _hist_op(lambda v: va.divide(v, va.literal(4.0))),
         "hist_negate": _hist_op(va.negate), "hist_add": _hist_add, "hist_sum": _hist_op(lambda v: va.add(v, v)), "hist_difference": _hist_difference,
         "hist_running": _hist_running, "hist_text": _hist_text,
-        "value_text_all": _value_text_all, "value_order_all": _value_order_all, "hist_text_all": _hist_text_all, "align_interpolate_constant_all": _align_constant_all,
-        "resample_grid_all": _resample_grid_all, "expression_grid_all": _expression_grid_all,
     }
     return out
 
@@ -373,7 +341,6 @@ def oracle_sql() -> dict[str, str]:
     out = {n: _sql(v, ev) for n, (_, v, ev, _) in _EXPRESSIONS.items()}
     out |= {n: f"{_EV}select tp_ms, user_id, round({c}, 6)::double v from e where {w}" for n, (_, w, c) in _FILTERS.items()}
     out |= {n: _LI + s for n, (_, s) in _JOINS.items()}
-    grid = f"{_EV}, t as (select unnest(range({JAN_1 + HOUR}, {JAN_1 + 100 * HOUR} + 1, {7 * HOUR})) tp_ms union select {JAN_1 + 100 * HOUR}), "
     whole = lambda step: f"{_EV}, m as (select min(tp_ms) a, max(tp_ms) z from e), t as (select unnest(range(a, z + 1, {step} + if((z - a) % {step} = 0, 1, 0))) tp_ms from m union select z from m), "
     edge = f"{_EV}, t as (select unnest([{JAN_1 + 48 * HOUR}, {JAN_1 + 60 * HOUR}]) tp_ms), "
     alerts = f"""{_EV}, a as (select user_id::varchar as name, tp_ms, case when value > 40 then 'TRIGGERING' else 'OK' end state from e where event_type = 'purchase'),
@@ -394,31 +361,28 @@ def oracle_sql() -> dict[str, str]:
             select tp_ms, coalesce(n, 0)::bigint elements, m last_element, coalesce(c, false) complete from n full join c using (tp_ms)""",
         "orders_selector": """select epoch_us(o_orderdate) // 1000 tp_ms, o_custkey cust, o_orderpriority priority, round(o_totalprice / 1000, 6) v from
             (select * from orders qualify row_number() over (partition by o_orderdate, o_custkey, o_orderstatus, o_orderpriority order by o_orderkey desc) = 1) where o_orderstatus = 'F'""",
-        "align_interpolate_vector": f"{_EV}, l as (select tp_ms, user_id, value x from e where event_type = 'view'), r as (select tp_ms, user_id, value x from e where event_type = 'click'), {_aligned('l', 'r', 'user_id', HOUR)} select a.tp_ms, a.user_id, round(a.x + b.x, 6) v from a join b on a.tp_ms = b.tp_ms and a.user_id = b.user_id where a.x is not null and b.x is not null",
+        "align_interpolate_vector": f"{_EV}, l as (select tp_ms, user_id, value x from e where event_type = 'view'), r as (select tp_ms, user_id, value x from e where event_type = 'click'), {_aligned('l', 'r', 'user_id', 24 * HOUR)} select a.tp_ms, a.user_id, round(a.x + b.x, 6) v from a join b on a.tp_ms = b.tp_ms and a.user_id = b.user_id where a.x is not null and b.x is not null",
         "align_interpolate_scalar": f"{_EV}, l as (select tp_ms, max(value) x from e where event_type = 'view' group by all), r as (select tp_ms, max(value) x from e where event_type = 'error' group by all), {_aligned('l', 'r', '', 5 * 60_000)} select a.tp_ms, round(a.x - b.x, 6) v from a join b on a.tp_ms = b.tp_ms where a.x is not null and b.x is not null",
-        "align_interpolate_constant": f"{_EV}, t as (select distinct tp_ms from e where tp_ms between {JAN_1} and {JAN_1 + 24 * HOUR}), {_at_times(HOUR // 2)} select tp_ms, user_id, round(v * 2, 6) v from at_t where event_type = 'signup' and v is not null",
-        "align_interpolate_constant_all": f"""{_EV}, t as (select distinct tp_ms from e), s as (select tp_ms, user_id, value x, lead(tp_ms) over w nt, lead(value) over w nx from e where event_type = 'signup' window w as (partition by user_id order by tp_ms))
+        "align_interpolate_constant": f"""{_EV}, t as (select distinct tp_ms from e), s as (select tp_ms, user_id, value x, lead(tp_ms) over w nt, lead(value) over w nx from e where event_type = 'signup' window w as (partition by user_id order by tp_ms))
             select tp_ms, user_id, round(x * 2, 6) v from s union all
             select t.tp_ms, user_id, round((x * ((nt - t.tp_ms)::double / (nt - s.tp_ms)) + nx * ((t.tp_ms - s.tp_ms)::double / (nt - s.tp_ms))) * 2, 6) from (from s where nt - tp_ms <= {HOUR}) s
               join t on t.tp_ms > s.tp_ms and t.tp_ms < s.nt where t.tp_ms <= s.tp_ms + {HOUR // 2} and t.tp_ms >= s.nt - {HOUR // 2}""",
         "join_scalar_vector": f"{_EV}, m as (select tp_ms, max(value) x from e where event_type = 'click' group by all) select tp_ms, user_id, round(x + k, 6) v from e join m using (tp_ms) where event_type = 'click'",
-        "resample_grid": grid + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
-        "resample_grid_all": whole(7 * HOUR) + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
-        "expression_grid_all": whole(4 * HOUR) + _at_times(8 * HOUR) + "select tp_ms, user_id, round(v + 1, 6) v from at_t where event_type = 'view' and v is not null",
+        "resample_grid": whole(7 * HOUR) + _at_times(12 * HOUR) + "select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null",
+        "expression_grid": whole(4 * HOUR) + _at_times(8 * HOUR) + "select tp_ms, user_id, round(v + 1, 6) v from at_t where event_type = 'view' and v is not null",
         "range_edges": edge + _at_times(6 * HOUR) + f"select tp_ms, event_type, user_id, 'value' metric, round(v, 6) v from at_t where v is not null union all select tp_ms, event_type, user_id, 'value', round(value, 6) from e where tp_ms > {JAN_1 + 48 * HOUR} and tp_ms < {JAN_1 + 60 * HOUR}",
-        "expression_grid": f"{_EV}, t as (select unnest(range({JAN_1}, {JAN_1 + 200 * HOUR} + 1, {4 * HOUR})) tp_ms), {_at_times(8 * HOUR)} select tp_ms, user_id, round(v + 1, 6) v from at_t where event_type = 'view' and v is not null",
         "alert_status": alerts + "select name, tp_ms, state, '{user=' || name || '}' attributes from a",
         "alert_extend": alerts + f"select name, case when state = 'TRIGGERING' and max(tp_ms) - min(tp_ms) >= {12 * HOUR} then 'FIRING' else state end as state, min(tp_ms) since, max(tp_ms) - min(tp_ms) duration from i group by name, island, i.state",
         "rules": f"{_EV}select 'high ' || event_type as rule, count(*) alerts from e where event_type in ('view', 'error') and value > 95 group by all",
-        "value_coercions": _VALUES + f"""select element_id, case value.kind when 1 then value.b when 2 then true when 3 then coalesce(value.i <> 0, value.u <> 0) when 4 then value.d <> 0 end truth,
+        "value_coercions": _VALUES + f"""select element_id, case value.kind when 1 then value.b when 2 then true when 3 then coalesce(value.i <> 0, value.u <> 0) when 4 then value.d <> 0 when 6 then len(value.h) > 0 end truth,
             round(case value.kind when 1 then value.b::int when 4 then value.d when 2 then value.i when 3 then coalesce(value.i::double, value.u::double) end::double, 6) number,
-            case value.kind when 1 then value.b::varchar when 5 then value.s when 4 then case when isnan(value.d) then 'nan' when isinf(value.d) then if(value.d > 0, 'inf', '-inf') else printf('%.6f', value.d) end when 2 then {_INT} when 3 then {_INT} end as string from x where value.kind <> 6""",
-        "value_text": _VALUES + f"select element_id, case value.kind when 0 then '(none)' when 1 then value.b::varchar when 5 then '\"' || value.s || '\"' else {_INT} end as text from x where value.kind not in (4, 6)",
+            case value.kind when 1 then value.b::varchar when 5 then value.s when 4 then case when isnan(value.d) then 'nan' when isinf(value.d) then if(value.d > 0, 'inf', '-inf') else printf('%.6f', value.d) end when 2 then {_INT} when 3 then {_INT} end as string from x""",
+        "value_text": _VALUES + f"select element_id, case when value is not null then {pq.value('value')} end as text from x",
         "value_order": f"""with v as (select array_to_string(grp, '.') grp, array_to_string(metric, '.') metric, value, case when value.kind in (2, 3, 4) then 2 else value.kind end c,
-              case value.kind when 4 then value.d when 2 then value.i when 3 then coalesce(value.i::double, value.u::double) when 1 then value.b::int end n from collection_elements where value.kind <> 6 and not (value.kind = 4 and isnan(value.d))),
-            f as (select *, row_number() over (partition by grp, metric order by c, n, value.kind) a, row_number() over (partition by grp, metric order by c desc, n desc, value.s desc) z from v)
-            select x.grp, x.metric, x.lk::int least_kind, y.g greatest, y.t greatest_text from (select grp, metric, value.kind lk from f where a = 1) x
-            join (select grp, metric, case when c in (1, 2) then n end::double g, value.s t from f where z = 1) y on x.grp = y.grp and x.metric = y.metric""",
+              case value.kind when 4 then value.d when 2 then value.i when 3 then coalesce(value.i::double, value.u::double) end n, coalesce(value.i::hugeint, value.u::hugeint) w from collection_elements where value is not null),
+            f as (select *, row_number() over (partition by grp, metric order by c, value.b nulls first, n nulls first, w nulls first, value.s nulls first, value.h nulls first) a,
+              row_number() over (partition by grp, metric order by c desc, value.b desc nulls last, n desc nulls last, w desc nulls last, value.s desc nulls last, value.h desc nulls last) z from v)
+            select grp, metric, any_value(value.kind::int) filter (a = 1) least_kind, any_value({pq.value('value')}) filter (a = 1) least, any_value(value.kind::int) filter (z = 1) greatest_kind, any_value({pq.value('value')}) filter (z = 1) greatest from f group by all""",
         "hist_stats": _HIST + """select element_id, round(min(r.lo), 6) low, round(max(r.hi), 6) high, round(coalesce(sum((r.lo / 2 + r.hi / 2) * r.cnt), 0), 6) total, round(coalesce(sum(r.cnt), 0), 6) n,
             case when sum(r.cnt) <> 0 then round(sum((r.lo / 2 + r.hi / 2) * r.cnt) / sum(r.cnt), 9) end as mean, count(r) = 0 is_empty from h left join r using (element_id) group by element_id""",
         "hist_scale": _HIST + "select element_id, r.lo, r.hi, round(r.cnt * 3, 6) cnt from r",
@@ -430,7 +394,6 @@ def oracle_sql() -> dict[str, str]:
             c as (select distinct element_id, c from (select element_id, lo c from x union all select element_id, hi from x)), g as (select element_id, c lo, lead(c) over (partition by element_id order by c) hi from c)
             select g.element_id, g.lo, g.hi, round(sum(x.cnt * (g.hi - g.lo) / (x.hi - x.lo)), 6) cnt from g join x on x.element_id = g.element_id and x.lo <= g.lo and x.hi >= g.hi group by all having sum(x.cnt * (g.hi - g.lo) / (x.hi - x.lo)) <> 0""",
         "hist_running": _HIST + "select element_id, r.lo, r.hi, round(sum(r.cnt) over (partition by element_id order by r.lo), 6) upto from r",
-        "hist_text": _HIST + """select element_id, case when len(h) = 0 then '[]' else '[ ' || array_to_string(list_transform(h, lambda r: r.lo::bigint || '..' || r.hi::bigint || '=' || r.cnt::bigint), ', ') || ' ]' end as text
-            from h where len(list_filter(h, lambda r: r.lo <> round(r.lo) or r.hi <> round(r.hi) or r.cnt <> round(r.cnt))) = 0""",
+        "hist_text": _HIST + f"select element_id, {pq.hist('h')} as text from h",
     }
     return out

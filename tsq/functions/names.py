@@ -54,10 +54,7 @@ class PathMatcher:
         return "^" + "".join(one if p is STAR else f"(?:{one})*" if p is DOUBLE_STAR else _java_quote(p) + SEP for p in self.parts) + "$"
 
     def column(self, path: Column) -> Column:
-        """Predicate on an array of strings. Literal paths compare arrays; others test a prefix and a length that every match has, and then the pattern."""
-        lit = self.literal()
-        if lit is not None:
-            return path == F.array(*[F.lit(p) for p in lit]).cast("array<string>")
+        """Predicate on an array of strings: tests of length and of the parts up to the first star, which reach the scan where a part is a column of it; then, with a star, the pattern."""
         fixed = sum(p is not DOUBLE_STAR for p in self.parts)
         size = F.size(path) >= fixed if DOUBLE_STAR in self.parts else F.size(path) == fixed
         out = size
@@ -67,8 +64,20 @@ class PathMatcher:
             out = out & (F.get(path, F.lit(i)) == p)
         if self.parts in ((DOUBLE_STAR,),):
             return path.isNotNull()
+        if self.literal() is not None:
+            return out
         return out & F.concat(F.array_join(path, SEP, ""), F.when(F.size(path) > 0, SEP).otherwise("")).rlike(self.regex())
 
+    def prefix(self) -> list[str]:
+        """The parts before the first star."""
+        stars = [i for i, p in enumerate(self.parts) if not isinstance(p, str)]
+        return list(self.parts[: stars[0]] if stars else self.parts)
+
+    def joined(self, column: Column) -> Column:
+        """Needed of a path's parts joined, each followed by SEP, by any match: a comparison that a scan can take."""
+        text = "".join(p + SEP for p in self.prefix())
+        return column == text if self.literal() is not None else column.startswith(text) if text else F.lit(True)
+
     def matches(self, path: list[str]) -> bool:
         return re.match(_py(self), "".join(p + SEP for p in path)) is not None
 
@@ -133,6 +142,24 @@ class TagMatcher:
         tags = F.coalesce(tags, F.array().cast(_tags_type()))
         return reduce(lambda a, b: a & b, [self._test(t, tags) for t in self.tests], F.lit(True))
 
+    def plain(self, columns: dict[str, str], types: dict[str, str]) -> list[Column]:
+        """Comparisons of scanned columns that the tests imply, for tags (by name) that are such columns of texts or whole numbers: a scan can take them."""
+        ops = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__"}
+        out = []
+        for t in self.tests:
+            if t.name not in columns:
+                continue
+            c = F.col(columns[t.name])
+            if t.op == "absent":
+                out.append(c.isNull())
+                continue
+            out.append(c.isNotNull())
+            text = types[columns[t.name]] == "string"
+            known = isinstance(t.value, str) and t.op in ("=", "!=") if text else isinstance(t.value, (int, float)) and not isinstance(t.value, bool) and math.isfinite(t.value)
+            if known and t.op in ops:
+                out.append(getattr(c, ops[t.op])(F.lit(t.value)))
+        return out
+
     @staticmethod
     def _test(t: TagTest, tags: Column) -> Column:
         there = F.exists(tags, lambda x: x.k == t.name)

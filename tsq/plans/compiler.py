@@ -37,26 +37,30 @@ class _Vector:
 class Compiler:
     """One evaluation: the samples in reach, the time range and the slack. Plans that several operators need are built once."""
 
-    def __init__(self, samples: DataFrame, time: TimeRange, slack: int):
+    def __init__(self, samples, time: TimeRange, slack: int):
         if slack < 0:
             raise ValueError("the slack may not be negative")
         self.time, self.slack = time, slack
-        self.samples = samples.where(time.within(F.col("tp_ms"), slack))
+        self.source = sm.source(samples)
         self._times: DataFrame | None = None
         self._selected: dict = {}
 
     def times(self) -> DataFrame:
         """Every scrape time: the times of constants, and of a grid its points."""
         if self._times is None:
-            self._times = self.time.grid(self.samples.sparkSession) if self.time.interval else sm.emit_time(self.samples, TimeRange(), 0)
+            self._times = sm.emit_time(self.source, self.time, self.slack)
         return self._times
 
     def select(self, e: ps.Selector, c: ps.Clause) -> DataFrame:
         if (e, c) not in self._selected:
-            s = sm.matching(self.samples, e.group, e.tags, e.metric)
+            s = self.source.scan(self.time, self.slack, e.group, e.tags, e.metric)
             if self.time.interval:
                 s = align(s, ["grp", "tags", "metric"], self.times(), self.slack)
-            self._selected[e, c] = match.first_by_key(s, c, ["grp", "metric", "tags"]).select("tp_ms", "tags", "value")
+            if c.kind == "default" and e.group.literal() is not None and e.metric.literal() is not None:
+                # one group and one metric: no two series fall on one key, the tags
+                self._selected[e, c] = s.select("tp_ms", "tags", "value")
+            else:
+                self._selected[e, c] = match.first_by_key(s, c, ["grp", "metric", "tags"]).select("tp_ms", "tags", "value")
         return self._selected[e, c]
 
     def run(self, e, c: ps.Clause = ps.DEFAULT):
@@ -114,14 +118,16 @@ class Compiler:
             return _Vector(self.wanted(out, by, c), c)
         a, b = (d.withColumn("mkey", match.key(by, F.col("tags"))).alias(n) for d, n in ((xd, "x"), (yd, "y")))
         tags = match.result_tags(by, F.col("x.tags"), F.col("y.tags"))
-        out = a.join(b, (F.col("x.tp_ms") == F.col("y.tp_ms")) & (F.col("x.mkey") == F.col("y.mkey"))).select("x.tp_ms", tags.alias("tags"), value.alias("value"))
+        out = a.join(b, (F.col("x.tp_ms") == F.col("y.tp_ms")) & match.same("x.mkey", "y.mkey")).select("x.tp_ms", tags.alias("tags"), value.alias("value"))
         # under the default clause results have the tags of both sides; else they may fall together
         return _Vector(self.wanted(out, by, c) if by.kind != "by" or by.keep in ("selected", "common") else match.collide(out, c), c)
 
 
-def evaluate(samples: DataFrame, expression, time: TimeRange = TimeRange(), slack: int = SLACK_MS) -> DataFrame:
+def evaluate(samples, expression, time: TimeRange = TimeRange(), slack: int = SLACK_MS) -> DataFrame:
     """The facts of an expression (text or tree): tp_ms, tags, value of a vector, tp_ms, value of a scalar one. Unordered; sort at the edge if order is wanted.
 
+    samples: a table of samples, or a source (samples.History, samples.Wide) whose scans take the selectors' predicates.
+
     Samples from slack before the range to slack after it are read; results lie within the range, or on its grid. Several samples of one series at one
     time must have been merged before (samples.merge_combine). No samples, no rows.
     """

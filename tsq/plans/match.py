@@ -31,15 +31,21 @@ def result_tags(c: Clause, left: Column, right: Column) -> Column:
     return {"left": left, "right": right}.get(c.keep, F.array_intersect(left, right))
 
 
+def same(x: str, y: str) -> Column:
+    """Join condition that two keys (tag arrays) are equal: by their hashes, which are cheap to shuffle and sort, and then by themselves, in a form that isn't taken for a key of the join."""
+    a, b = F.col(x), F.col(y)
+    return (F.xxhash64(a) == F.xxhash64(b)) & (a <= b) & (a >= b)
+
+
 def first_by_key(df: DataFrame, c: Clause, order: list[str]) -> DataFrame:
     """A side's rows one per time and key: of several series that fall on one key the first in the given order."""
     df = df.where(passes(c, F.col("tags"))).withColumn("mkey", key(c, F.col("tags")))
-    pick = df.groupBy("tp_ms", "mkey").agg(F.min_by(F.struct("tags", "value"), F.struct(*order)).alias("r"))
+    pick = df.groupBy("tp_ms", F.xxhash64("mkey"), "mkey").agg(F.min_by(F.struct("tags", "value"), F.struct(*order)).alias("r"))
     return pick.select("tp_ms", "r.tags", "mkey", "r.value")
 
 
 def collide(df: DataFrame, c: Clause) -> DataFrame:
     """Results one per time and key under the clause they are wanted for: several that fall on one key give an empty value."""
     df = df.where(passes(c, F.col("tags"))).withColumn("mkey", key(c, F.col("tags")))
-    one = df.groupBy("tp_ms", "mkey").agg(F.min("tags").alias("tags"), F.count("*").alias("n"), F.first("value").alias("v"))
+    one = df.groupBy("tp_ms", F.xxhash64("mkey"), "mkey").agg(F.min("tags").alias("tags"), F.count("*").alias("n"), F.first("value").alias("v"))
     return one.select("tp_ms", "tags", F.when(F.col("n") > 1, va.empty()).otherwise(F.col("v")).alias("value"))

@@ -1,5 +1,7 @@
 """Samples: one row per time, group, tags and metric. Scans with filters, merging of sources, range edges, and adapters of the driver's tables."""
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +14,21 @@ from tsq.schema import SAMPLES_DDL, TAGS_DDL
 from tsq.sources.tables import table
 
 SERIES = ["grp", "tags", "metric"]
+DAY_MS = 86_400_000
 
 
-def read(spark: SparkSession, directory: str) -> DataFrame:
-    """The samples of a history directory (Parquet, see sinks.append): files outside a time predicate are pruned by partition and by footer."""
-    return spark.read.parquet(directory).select("tp_ms", *SERIES, "value")
+def read(spark: SparkSession, directory: str, time: TimeRange = TimeRange(), slack: int = 0, group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY) -> DataFrame:
+    """The samples of a history directory (Parquet, see sinks.append) that match.
+
+    A time range prunes the partitions by date; paths up to their first star, and times, reach the scan, whose row groups are pruned by their statistics.
+    """
+    s = spark.read.parquet(directory)
+    for t, end in ((time.begin, "begin"), (time.end, "end")):
+        if t is not None:
+            day = F.date_from_unix_date(F.lit((t - slack if end == "begin" else t + slack) // DAY_MS).cast("int"))
+            s = s.where(F.col("date") >= day if end == "begin" else F.col("date") <= day)
+    s = s.where(time.within(F.col("tp_ms"), slack)).where(group.joined(F.col("grp_key"))).where(metric.joined(F.col("metric_key")))
+    return matching(s, group, tags, metric).select("tp_ms", *SERIES, "value")
 
 
 def nothing(spark: SparkSession) -> DataFrame:
@@ -34,28 +46,84 @@ def matching(samples: DataFrame, group: PathMatcher = ANY, tags: TagMatcher = Ta
     return out.where(tags.column(F.col("tags"))) if tags.tests else out
 
 
-def emit(samples: DataFrame, time: TimeRange = TimeRange(), group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY, slack: int = 0) -> DataFrame:
+@dataclass(frozen=True)
+class History:
+    """A history directory as a source."""
+
+    spark: SparkSession
+    directory: str
+
+    def scan(self, time: TimeRange = TimeRange(), slack: int = 0, group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY) -> DataFrame:
+        return read(self.spark, self.directory, time, slack, group, tags, metric)
+
+
+@dataclass(frozen=True)
+class Wide:
+    """A table whose rows hold several metrics of a series each, as a source: the metrics asked for are chosen before rows are made of them, and tests of tags that are
+    columns reach the scan.
+
+    df: tp_ms, grp, tags, the columns of tags and metrics. metrics: path, column and kernel that makes a value of it, each. tags: column of each tag.
+    """
+
+    df: DataFrame
+    metrics: tuple[tuple[tuple[str, ...], str, Callable[[Column], Column]], ...]
+    tags: dict[str, str]
+
+    def scan(self, time: TimeRange = TimeRange(), slack: int = 0, group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY) -> DataFrame:
+        chosen = [m for m in self.metrics if metric.matches(list(m[0]))]
+        if not chosen:
+            return nothing(self.df.sparkSession)
+        df = self.df.where(time.within(F.col("tp_ms"), slack))
+        for test in tags.plain(self.tags, dict(self.df.dtypes)):
+            df = df.where(test)
+        df = matching(df, group, tags)
+        row = lambda m: F.struct(_path(*m[0]).alias("metric"), m[2](F.col(m[1])).alias("value"))
+        if len(chosen) == 1:
+            return df.where(F.col(chosen[0][1]).isNotNull()).select("tp_ms", "grp", "tags", row(chosen[0]).alias("r")).select("tp_ms", "grp", "tags", "r.metric", "r.value")
+        return df.select("tp_ms", "grp", "tags", F.inline(F.array(*map(row, chosen)))).where("value is not null").select("tp_ms", *SERIES, "value")
+
+    def samples(self) -> DataFrame:
+        return self.scan()
+
+
+@dataclass(frozen=True)
+class Plain:
+    """A table of samples as a source."""
+
+    df: DataFrame
+
+    def scan(self, time: TimeRange = TimeRange(), slack: int = 0, group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY) -> DataFrame:
+        return matching(self.df.where(time.within(F.col("tp_ms"), slack)), group, tags, metric)
+
+
+def source(samples: "DataFrame | History | Wide | Plain") -> "History | Wide | Plain":
+    return Plain(samples) if isinstance(samples, DataFrame) else samples
+
+
+def emit(samples: "DataFrame | History | Wide", time: TimeRange = TimeRange(), group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY, slack: int = 0) -> DataFrame:
     """All matching metrics over a time range. With an interval every series' value at every grid point; else the samples in the range, and at its
     two edges the values interpolated from the neighbours within the slack. Samples exactly at an edge are kept as they are.
     """
-    near = matching(samples.where(time.within(F.col("tp_ms"), slack)), group, tags, metric).select("tp_ms", *SERIES, "value")
+    near = source(samples).scan(time, slack, group, tags, metric).select("tp_ms", *SERIES, "value")
+    spark = near.sparkSession
     if time.interval:
-        return align(near, SERIES, time.grid(samples.sparkSession), slack).select("tp_ms", *SERIES, "value")
+        return align(near, SERIES, time.grid(spark), slack).select("tp_ms", *SERIES, "value")
     inner = near.where(time.within(F.col("tp_ms")))
     edges = [t for t in (time.begin, time.end) if t is not None]
     if not edges or not slack:
         return inner
-    at = samples.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t).cast("bigint") for t in dict.fromkeys(edges)])).alias("tp_ms"))
+    at = spark.range(1).select(F.explode(F.array(*[F.lit(t).cast("bigint") for t in dict.fromkeys(edges)])).alias("tp_ms"))
     from tsq.plans.timedomain import between
 
     return inner.unionByName(between(near, SERIES, at, slack).select("tp_ms", *SERIES, "value"))
 
 
-def emit_time(samples: DataFrame, time: TimeRange = TimeRange(), slack: int = 0) -> DataFrame:
-    """The distinct scrape times, tp_ms; on a grid its points."""
+def emit_time(samples: "DataFrame | History | Wide", time: TimeRange = TimeRange(), slack: int = 0) -> DataFrame:
+    """The distinct scrape times, tp_ms; on a grid its points. Of a stored history no other column than the times is read."""
+    s = source(samples)
     if time.interval:
-        return time.grid(samples.sparkSession)
-    return samples.where(time.within(F.col("tp_ms"), slack)).select("tp_ms").distinct()
+        return time.grid(SparkSession.active())
+    return s.scan(time, slack).select("tp_ms").distinct()
 
 
 def time_bounds(samples: DataFrame) -> DataFrame:
@@ -69,16 +137,21 @@ def canonical_tags(tags: Column) -> Column:
     return F.array_sort(F.when(F.exists(tags, lambda t: t.v.kind == 4), fixed).otherwise(tags), lambda a, b: F.when(a.k < b.k, -1).when(a.k > b.k, 1).otherwise(0))
 
 
+def _hash() -> Column:
+    """A key before the nested ones of a series, so that sorting and grouping seldom have to compare those."""
+    return F.xxhash64(*SERIES)
+
+
 def merge_combine(sources: list[DataFrame]) -> DataFrame:
     """The union of several sources' samples: of several values of one series at one time that of the first source counts."""
     tagged = [s.select("tp_ms", *SERIES, "value", F.lit(i).alias("source")) for i, s in enumerate(sources)]
-    one = reduce(DataFrame.unionByName, tagged).groupBy("tp_ms", *SERIES).agg(F.min_by(F.struct("value"), F.struct("source", va.sort_key(F.col("value")))).alias("r"))
+    one = reduce(DataFrame.unionByName, tagged).groupBy("tp_ms", _hash(), *SERIES).agg(F.min_by(F.struct("value"), F.struct("source", va.sort_key(F.col("value")))).alias("r"))
     return one.select("tp_ms", *SERIES, "r.value")
 
 
 def last_wins(samples: DataFrame, seq: str) -> DataFrame:
     """One value per series and time: of several the one latest in seq."""
-    one = samples.groupBy("tp_ms", *SERIES).agg(F.max_by(F.struct("value"), F.col(seq)).alias("r"))
+    one = samples.groupBy("tp_ms", _hash(), *SERIES).agg(F.max_by(F.struct("value"), F.col(seq)).alias("r"))
     return one.select("tp_ms", *SERIES, "r.value")
 
 
@@ -105,30 +178,55 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
+def wide_of(events: DataFrame) -> Wide:
+    """Events (a table or a stream of it) as a source: group app.<event type>, tag user, metrics value and props.k."""
+    tags = _tags(user=va.integer(F.col("user_id")))
+    e = events.select(millis("ts").alias("tp_ms"), _path("app", F.col("event_type")).alias("grp"), tags.alias("tags"), F.col("user_id"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return Wide(e, ((("value",), "x", va.double), (("props", "k"), "k", va.integer)), {"user": "user_id"})
+
+
+def wide_events(spark: SparkSession, d: str) -> Wide:
+    """The events table, see wide_of."""
+    return wide_of(table(spark, d, "events"))
+
+
 def of_events(spark: SparkSession, d: str, grid_ms: int | None = None) -> DataFrame:
-    """Samples of the events table: group app.<event type>, tag user, metrics value and props.k. With grid_ms times are rounded down to a grid; the latest event of a series at a time counts."""
+    """Samples of the events table, see wide_of. With grid_ms times are rounded down to a grid; the latest event of a series at a time counts."""
+    if not grid_ms:
+        return wide_events(spark, d).samples()
     t = millis("ts")
-    t = t - F.pmod(t, F.lit(grid_ms)) if grid_ms else t
-    e = table(spark, d, "events").select(t.alias("tp_ms"), _path("app", F.col("event_type")).alias("grp"), _tags(user=va.integer(F.col("user_id"))).alias("tags"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), "ts", "event_id")
-    both = F.array(F.struct(_path("value").alias("metric"), va.double(F.col("x")).alias("value")), F.struct(_path("props", "k").alias("metric"), va.integer(F.col("k")).alias("value")))
-    s = e.select("tp_ms", "grp", "tags", F.struct("ts", "event_id").alias("seq"), F.inline(both)).where("value is not null")
-    return last_wins(s, "seq") if grid_ms else s.select("tp_ms", *SERIES, "value")
+    # by columns, before series are made of them; of a metric the latest value that is there
+    e = table(spark, d, "events").select((t - F.pmod(t, F.lit(grid_ms))).alias("tp_ms"), "event_type", "user_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.struct("ts", "event_id").alias("seq"))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    e = e.groupBy("tp_ms", "event_type", "user_id").agg(latest("x"), latest("k"))
+    e = e.withColumns({"grp": _path("app", F.col("event_type")), "tags": _tags(user=va.integer(F.col("user_id")))})
+    return Wide(e, ((("value",), "x", va.double), (("props", "k"), "k", va.integer)), {"user": "user_id"}).samples()
+
+
+def wide_orders(spark: SparkSession, d: str) -> Wide:
+    """The orders table: group orders, tags cust, status and priority, metric totalprice; of a series' orders at one time that with the greatest key counts."""
+    keys = {"cust": "o_custkey", "status": "o_orderstatus", "priority": "o_orderpriority"}
+    o = table(spark, d, "orders").groupBy(millis("o_orderdate").alias("tp_ms"), *keys.values()).agg(F.max_by("o_totalprice", F.when(F.col("o_totalprice").isNotNull(), F.col("o_orderkey"))).alias("x"))
+    tags = _tags(cust=va.integer(F.col("o_custkey")), status=va.string(F.col("o_orderstatus")), priority=va.string(F.col("o_orderpriority")))
+    return Wide(o.withColumns({"grp": _path("orders"), "tags": tags}), ((("totalprice",), "x", va.double),), keys)
+
+
+def wide_lineitem(spark: SparkSession, d: str) -> Wide:
+    """The lineitem table by ship date, flag and status; several rows of a series at a time are the norm, of which the greatest order and line counts. It is chosen by plain columns, before series are made of them."""
+    keys = {"flag": "l_returnflag", "status": "l_linestatus"}
+    names = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    seq = F.struct("l_orderkey", "l_linenumber")
+    li = table(spark, d, "lineitem").groupBy(millis("l_shipdate").alias("tp_ms"), *keys.values()).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c) for c in names.values()])
+    tags = _tags(flag=va.string(F.col("l_returnflag")), status=va.string(F.col("l_linestatus")))
+    return Wide(li.withColumns({"grp": _path("lineitem"), "tags": tags}), tuple(((n,), c, va.double) for n, c in names.items()), keys)
 
 
 def of_orders(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    tags = _tags(cust=va.integer(F.col("o_custkey")), status=va.string(F.col("o_orderstatus")), priority=va.string(F.col("o_orderpriority")))
-    s = o.select(millis("o_orderdate").alias("tp_ms"), _path("orders").alias("grp"), tags.alias("tags"), _path("totalprice").alias("metric"), va.double(F.col("o_totalprice")).alias("value"), F.col("o_orderkey").alias("seq"))
-    return last_wins(s, "seq")
+    return wide_orders(spark, d).samples()
 
 
 def of_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of lineitem by ship date, flag and status; several rows of a series at a time are the norm, of which the greatest order and line counts."""
-    li = table(spark, d, "lineitem")
-    tags = _tags(flag=va.string(F.col("l_returnflag")), status=va.string(F.col("l_linestatus")))
-    m = F.array(*[F.struct(_path(n).alias("metric"), va.double(F.col(c)).alias("value")) for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax"))])
-    s = li.select(millis("l_shipdate").alias("tp_ms"), _path("lineitem").alias("grp"), tags.alias("tags"), F.struct("l_orderkey", "l_linenumber").alias("seq"), F.inline(m))
-    return last_wins(s, "seq")
+    return wide_lineitem(spark, d).samples()
 
 
 def of_elements(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tsq.functions.names import ANY, PathMatcher, TagMatcher
 from tsq.schema import SAMPLES_DDL
-from tsq.sources.samples import SERIES, matching
+from tsq.sources.samples import SERIES, last_wins, matching
 
 #: Seconds between scrapes of the daemon loop.
 SCRAPE_S = 5
@@ -112,10 +112,14 @@ def facts(samples: DataFrame, slack_ms: int, seq: str | None = None) -> DataFram
     return s.groupBy("ts", "tp_ms", *SERIES).agg(F.max_by("value", order).alias("value")).drop("ts")
 
 
-def upsert(table: dict, batch: DataFrame) -> None:
-    """Last write wins by (tp_ms, grp, tags, metric), for small speculative views kept by the driver: a fact replaces what was guessed before it."""
-    for r in batch.toLocalIterator():
-        table[(r.tp_ms, tuple(r.grp), tuple(map(tuple, r.tags)), tuple(r.metric))] = r.value
+def upsert(batch: DataFrame, epoch: int, directory: str) -> None:
+    """A foreachBatch step: adds a batch's changes, marked with its number, to a directory that holds a stream's speculative view (see current). A batch that is run again replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{directory}/epoch={epoch}")
+
+
+def current(spark: SparkSession, directory: str) -> DataFrame:
+    """The view kept by upsert: last write wins by time and series, so a fact replaces what was guessed before it."""
+    return last_wins(spark.read.parquet(directory), "epoch")
 
 
 def selected(samples: DataFrame, group: PathMatcher = ANY, tags: TagMatcher = TagMatcher(), metric: PathMatcher = ANY) -> DataFrame:
