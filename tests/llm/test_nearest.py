@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tsq.llm import nearest as module
 from tsq.llm.nearest import XFastTrie, emits, nearest
 from tsq.sources.tables import table
 
@@ -58,3 +59,26 @@ def test_only_emits_with_a_number_take_part(spark, data):
     ok = lambda m: m is not None and (m.kind in (2, 3) or m.kind == 4 and m.d == m.d)
     assert sorted(r.id for r in s.collect()) == sorted(r.emit_id for r in table(spark, data, "scalar_emits").collect() if ok(r.value))
     assert sorted(r.id for r in v.collect()) == sorted(r.emit_id for r in table(spark, data, "vector_emits").collect() if any(ok(x.value) for x in r.tagged or []))
+
+
+def test_shards_share_tries_and_long_shards_are_matched_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(module, "TRIE_ROWS", 50)
+    rnd = random.Random(8)
+    # many short shards, and one of 3000 rows with ties on both sides, cut into small batches
+    row = lambda i, e, t: (e, t, i, "", "")
+    left = [row(i, f"e{rnd.randrange(20)}", rnd.randrange(1 << 14)) for i in range(400)] + [row(i, "hot", 5000 + rnd.randrange(900)) for i in range(400, 2000)]
+    right = [row(i, f"e{rnd.randrange(20)}", rnd.randrange(1 << 14)) for i in range(5000, 5400)] + [row(i, "hot", 5000 + rnd.randrange(900)) for i in range(5400, 6800)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = nearest(spark.createDataFrame(left + left[::7], SCHEMA), spark.createDataFrame(right + right[::5], SCHEMA), 60, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(brute(left, right, 60))
+
+
+def test_no_key_of_another_shard_is_within_the_tolerance(spark):
+    for tolerance in (1, 511, 1023):
+        left = [("a", 1023, 1, "", ""), ("b", 0, 2, "", "")]
+        right = [("a", 2046, 3, "", ""), ("a", 1023 + 512, 4, "", ""), ("b", -511, 5, "", "")]
+        got = nearest(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), tolerance, 10).collect()
+        assert sorted(map(tuple, got)) == sorted(brute(left, right, tolerance))
