@@ -95,6 +95,21 @@ def test_empty_source_and_history_directory(spark, tmp_path):
     assert lines == ["1970-01-01T00:00:00.001Z g.h{x=1}::m = 2.5", "1970-01-02T00:00:00.001Z g.h::n = 3"]
 
 
+def test_selectors_reach_the_scan(spark, data, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = plan(compiler.evaluate(sm.wide_events(spark, data), "app.view{user>=42}::value", slack=0))
+    assert "EqualTo(event_type,view)" in p and "GreaterThanOrEqual(user_id,42)" in p and "props" not in p and "Generate" not in p
+    one = plan(compiler.evaluate(sm.wide_lineitem(spark, data), "lineitem::price", slack=0))
+    assert "l_extendedprice" in one and "l_tax" not in one and "Generate" not in one
+    sinks.append(sm.of_events(spark, data), str(tmp_path / "h"))
+    h = sm.History(spark, str(tmp_path / "h"))
+    p = plan(h.scan(TimeRange(1_704_153_600_000, 1_704_240_000_000), 0, ps.parse_path_matcher("app.view"), metric=ps.parse_path_matcher("props.**")))
+    assert "PartitionFilters: [isnotnull(date" in p and "EqualTo(grp_key" in p and "StringStartsWith(metric_key" in p
+    times = plan(sm.emit_time(h))
+    assert "value" not in times[times.index("ReadSchema") :].split("\n")[0]
+
+
 def test_llm_is_optional_and_whole_library_imports():
     import subprocess
     import sys

@@ -122,7 +122,7 @@ _JOINS = {
 
 
 def _align_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _events("app.view::value + app.click::value", slack=24 * HOUR)(spark, d)
+    return _events("app.view::value + app.click::value", slack=12 * HOUR)(spark, d)
 
 
 def _align_constant(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
             select tp_ms, coalesce(n, 0)::bigint elements, m last_element, coalesce(c, false) complete from n full join c using (tp_ms)""",
         "orders_selector": """select epoch_us(o_orderdate) // 1000 tp_ms, o_custkey cust, o_orderpriority priority, round(o_totalprice / 1000, 6) v from
             (select * from orders qualify row_number() over (partition by o_orderdate, o_custkey, o_orderstatus, o_orderpriority order by o_orderkey desc) = 1) where o_orderstatus = 'F'""",
-        "align_interpolate_vector": f"{_EV}, l as (select tp_ms, user_id, value x from e where event_type = 'view'), r as (select tp_ms, user_id, value x from e where event_type = 'click'), {_aligned('l', 'r', 'user_id', 24 * HOUR)} select a.tp_ms, a.user_id, round(a.x + b.x, 6) v from a join b on a.tp_ms = b.tp_ms and a.user_id = b.user_id where a.x is not null and b.x is not null",
+        "align_interpolate_vector": f"{_EV}, l as (select tp_ms, user_id, value x from e where event_type = 'view'), r as (select tp_ms, user_id, value x from e where event_type = 'click'), {_aligned('l', 'r', 'user_id', 12 * HOUR)} select a.tp_ms, a.user_id, round(a.x + b.x, 6) v from a join b on a.tp_ms = b.tp_ms and a.user_id = b.user_id where a.x is not null and b.x is not null",
         "align_interpolate_scalar": f"{_EV}, l as (select tp_ms, max(value) x from e where event_type = 'view' group by all), r as (select tp_ms, max(value) x from e where event_type = 'error' group by all), {_aligned('l', 'r', '', 5 * 60_000)} select a.tp_ms, round(a.x - b.x, 6) v from a join b on a.tp_ms = b.tp_ms where a.x is not null and b.x is not null",
         "align_interpolate_constant": f"""{_EV}, t as (select distinct tp_ms from e), s as (select tp_ms, user_id, value x, lead(tp_ms) over w nt, lead(value) over w nx from e where event_type = 'signup' window w as (partition by user_id order by tp_ms))
             select tp_ms, user_id, round(x * 2, 6) v from s union all

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsq.functions.values import bound
+
 #: Readings on either side that make up the course nearby; most readings in a spike; fewest equal readings of a stuck stretch.
 NEAR, SPIKE, STUCK = 3, 3, 12
 #: A silence of more than this many intervals starts the course anew.
@@ -163,21 +165,28 @@ def _may_spike() -> Column:
 
 
 def _spiked() -> Column:
-    """Whether a reading is in a spike."""
-    case = F.lit(False)
-    for o, n in GROUPS:
-        b, f = F.col(f"b{o}"), F.col(f"f{n - 1 - o}")
-        course = (b + f) / 2
-        # fences around the course, and a rate of change that neither neighbour explains
-        out = F.abs(b - f) <= F.col("far")
-        # it is left and reached again at once: the readings next to the group lie on it
-        for d in (-o - 1, n - o):
-            out = out & (F.abs(F.col(f"x{d}") - course) <= F.col("far"))
-        for d in range(-o, n - o):
-            x = F.col(f"x{d}")
-            out = out & (F.abs(x - course) > F.col("far")) & (F.abs(x - b) > F.col("far")) & (F.abs(x - f) > F.col("far"))
-        case = case | F.coalesce(out, F.lit(False))
-    return case
+    """Whether a reading is in a spike. The columns are read once and the rest is said of what was read, so that the plan stays small; few readings get here."""
+    reach = range(-SPIKE, SPIKE + 1)
+    names = ["far", *[f"x{d}" for d in reach], *[f"{side}{o}" for side in "bf" for o in range(SPIKE)]]
+
+    def spiked(*values: Column) -> Column:
+        v = dict(zip(names, values))
+        far, case = v["far"], F.lit(False)
+        for o, n in GROUPS:
+            b, f = v[f"b{o}"], v[f"f{n - 1 - o}"]
+            course = (b + f) / 2
+            # fences around the course, and a rate of change that neither neighbour explains
+            out = F.abs(b - f) <= far
+            # it is left and reached again at once: the readings next to the group lie on it
+            for d in (-o - 1, n - o):
+                out = out & (F.abs(v[f"x{d}"] - course) <= far)
+            for d in range(-o, n - o):
+                x = v[f"x{d}"]
+                out = out & (F.abs(x - course) > far) & (F.abs(x - b) > far) & (F.abs(x - f) > far)
+            case = case | F.coalesce(out, F.lit(False))
+        return case
+
+    return bound(spiked)(*[F.col(n) for n in names])
 
 
 def implausible(readings: DataFrame) -> DataFrame:

@@ -234,6 +234,14 @@ def _stream_aligned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(folder).select("tp_ms", tx.tags(F.col("tags")).alias("tags"), F.round(va.as_double(F.col("value")), 6).alias("v"))
 
 
+def _stream_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams whose times differ, joined by tags with interpolation."""
+    folder = scratch(spark, "merged")
+    side = lambda e: live.selected(_live_events(spark, d), ps.parse_path_matcher(f"app.{e}"), TagMatcher(), ps.parse_path_matcher("value")).select("tp_ms", "tags", "value")
+    _ran(live.merged(side("view"), side("click"), va.add, 12 * SLACK), "append", path=folder)
+    return spark.read.parquet(folder).select("tp_ms", tx.tags(F.col("tags")).alias("tags"), F.round(va.as_double(F.col("value")), 6).alias("v"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "history_scan": _history_scan, "history_pruned": _history_pruned, "history_times": _history_times, "history_bounds": _history_bounds, "history_expression": _history_expression,
@@ -241,7 +249,7 @@ def queries() -> dict[str, Query]:
         "constant": _constant, "print_lines": _lines, "sorted_by_time": _sorted, "flatten_scrapes": _flattened, "expression_text": _printed_back,
         "path_cases": _path_cases, "path_overlaps": _path_overlaps, "path_normalised": _normalised, "tag_overlaps": _tag_overlaps, "tag_satisfied": _tag_satisfied,
         "literals": _literals, "collectors": _collectors, "value_equal": _equal,
-        "stream_facts": _stream_facts, "stream_updates": _stream_updates, "stream_filter": _stream_filter, "stream_aligned": _stream_aligned,
+        "stream_facts": _stream_facts, "stream_updates": _stream_updates, "stream_filter": _stream_filter, "stream_aligned": _stream_aligned, "stream_merged": _stream_merged,
     }
 
 
@@ -288,6 +296,17 @@ _TAG_APART = [
 ]
 
 
+def _at(x: str) -> str:
+    w = "over (partition by tags order by tp_ms range between"
+    p, n = (f"{f}(case when {x} is not null then {{'t': tp_ms, 'v': {x}}} end ignore nulls) {w} {r})" for f, r in (("last_value", f"{12 * SLACK} preceding and 1 preceding"), ("first_value", f"1 following and {12 * SLACK} following")))
+    return f"{x} here_{x}, {p} p_{x}, {n} n_{x}"
+
+
+_BETWEEN = "coalesce(here_{x}, p_{x}.v * ((n_{x}.t - tp_ms)::double / (n_{x}.t - p_{x}.t)) + n_{x}.v * ((tp_ms - p_{x}.t)::double / (n_{x}.t - p_{x}.t)))"
+_MERGED = f""", u as (select tags, tp_ms, max(value) filter (event_type = 'view') xl, max(value) filter (event_type = 'click') xr from e where event_type in ('view', 'click') group by all),
+a as (select tags, tp_ms, {_at('xl')}, {_at('xr')} from u), b as (select tags, tp_ms, {_BETWEEN.format(x='xl')} x, {_BETWEEN.format(x='xr')} y from a)"""
+
+
 def oracle_sql() -> dict[str, str]:
     apart = lambda pairs, a, b: (a, b) in pairs or (b, a) in pairs
     out = dict.fromkeys(("history_scan", "sorted_by_time", "flatten_scrapes"), _ALL)
@@ -320,5 +339,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_facts": _EV + f"select * from {_EVENT_ROWS} where tp_ms < (select max(tp_ms) from e) - {SLACK} or tp_ms = (select max(tp_ms) from e) - {SLACK}",
         "stream_updates": _EV + f"select * from {_EVENT_ROWS}",
         "stream_filter": _EV + "select tp_ms, tags, round(value, 6) v from e where event_type = 'error' and user_id >= 42 and value is not null",
+        "stream_merged": _EV + f"""{_MERGED} select tp_ms, tags, round(x + y, 6) v from b where x is not null and y is not null and tp_ms < (select max(tp_ms) from u) - {24 * SLACK}""",
         "stream_aligned": _EV + "select tp_ms, tags, round(value + k, 6) v from e where event_type = 'error' and value is not null and k is not null",
     }

@@ -50,6 +50,11 @@ def p4_flags(spark: SparkSession, d: str) -> DataFrame:
     return implausible(_typed(spark, d, "'gauge', 'level'"))
 
 
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The flags that plain rules tell: impossible and stuck readings."""
+    return p4_flags(spark, d).where("reason <> 'spike'")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_flags(spark, d).select("element_id")
 
@@ -81,7 +86,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_changes, p3_fields, p3_readings, p4_found, p4_flags, p6_found, p6_totals, p6_corrected)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p3_found, p3_changes, p3_fields, p3_readings, p4_found, p4_flags, p4_bounds, p6_found, p6_totals, p6_corrected)}
 
 
 #: Usable readings, as a common table expression.
@@ -114,6 +119,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _GRID + "select host, metric, pos as slot_ms from g where pos <> slot",
         "p1_grid": _GRID + """select host, metric, pos as slot_ms, case when pos = slot then 'observed' when pos - slot <= 10 * step then 'filled' else 'missing' end status,
             case when pos - slot <= 10 * step then x end as value, case when pos = slot then 0 else pos - l end::bigint age_ms from g""",
+        "p4_bounds": _USABLE + """, g as (select element_id, nature, coalesce(v < lo, false) or coalesce(v > hi, false) outside, host, metric, tp_ms, v from r join c using (grp, metric) where nature in ('gauge', 'level')),
+            n as (select *, sum(case when v = p then 0 else 1 end) over (partition by host, metric order by tp_ms, element_id) run from (select *, lag(v) over (partition by host, metric order by tp_ms, element_id) p from g)),
+            k as (select *, count(*) over (partition by host, metric, run) n from n)
+            select element_id, if(outside, 'impossible', 'stuck') reason from k where outside or nature = 'gauge' and n >= 12""",
         "p6_found": _ROLL + "select host, cast(date '1970-01-01' + day::int as varchar) day_utc from t where n_day = 0 and n_7 > 0",
         **dict.fromkeys(("p6_totals", "p6_corrected"), _ROLL + """select host, cast(date '1970-01-01' + day::int as varchar) day_utc, n_day, round(total_7, 6) total_7, n_7, round(if(n_7 > 0, total_7 / n_7, null), 9) avg_7,
             round(total_30, 6) total_30, n_30, round(if(n_30 > 0, total_30 / n_30, null), 9) avg_30 from t"""),
