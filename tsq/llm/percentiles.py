@@ -40,8 +40,8 @@ def bisect(items: DataFrame, keys: list[str], percentiles: list[float], groups:
     items: keys, code (see code()) and w, the weight. The percentile p is the least value with at least p of the weight at or below it.
     Method: an interval of codes is held per group and percentile. Each pass counts the weight below the midpoints of all open intervals
     (DIGIT_BITS halvings at once) and narrows each to the child where the target rank lies; after PASSES passes the intervals are single values.
-    A pass is a partial aggregation, so what is shuffled are counts, at most 2**DIGIT_BITS per interval, and no hot group lands in one task.
-    The items are first added up by group and code, over all cores and whatever the skew; the passes all read that one shuffle.
+    The items are first added up by group and code, over all cores and whatever the skew: that shuffle moves each distinct value of a group once, pre-aggregated
+    where it is read. The passes all read it and move only counts, at most 2**DIGIT_BITS per interval, by partial aggregation; no hot group lands in one task.
     groups: rows that number at least the groups, if they cost less to count than those of the items.
     Rows with a null code or a null, zero or negative weight are left out; null keys form a group of their own. No rows, no groups.
     """

@@ -82,6 +82,27 @@ i as (
   where isfinite(r.lo) and isfinite(r.hi) and isfinite(r.cnt) and r.cnt > 0)
 """
 
+#: The bucket of a value: its exponent and the first 8 bits of its fraction as one number, of negative values rounded away from zero.
+_BUCKETS = _ITEMS + """, l as (select *, abs(x) a, floor(log2(nullif(abs(x), 0)))::int e0 from i),
+  m as (select *, e0 + case when a / pow(2.0, e0) >= 2 then 1 when a / pow(2.0, e0) < 1 then -1 else 0 end e from l),
+  o as (select *, (a / pow(2.0, e) - 1) * 256 f from m),
+  t as (select *, case when x = 0 then 0 when x > 0 then (e + 1023) * 256 + floor(f)::int else -((e + 1023) * 256 + ceil(f)::int) end::bigint bucket from o)
+"""
+
+
+def _val(b: str) -> str:
+    """SQL of the least magnitude in a bucket, and of the step between doubles there."""
+    return f"(pow(2.0, {b} // 256 - 1023) * (1 + ({b} % 256) / 256.0::double))"
+
+
+def _ulp(b: str) -> str:
+    return f"pow(2.0, {b} // 256 - 1023 - 52)"
+
+
+_TINY = "pow(2.0, -1074)"
+_LOWER = f"case when bucket = 0 then 0.0 when bucket > 0 then {_val('bucket')} else -{_val('(-bucket)')} end"
+_UPPER = f"case when bucket = 0 then 17592186044415 * {_TINY} when bucket > 0 then {_val('(bucket + 1)')} - {_ulp('bucket')} when bucket = -1 then -{_TINY} else -({_val('(-bucket - 1)')} + {_ulp('(-bucket - 1)')}) end"
+
 _PCTS = ", ".join(f"({p}::double)" for p in PERCENTILES)
 
 _P5 = """
@@ -99,6 +120,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_percentiles": f"""{_ITEMS}, c as (select *, sum(w) over (partition by grp, metric, kind order by x rows unbounded preceding) upto, sum(w) over (partition by grp, metric, kind) n from i),
             p(pct) as (values {_PCTS})
             select grp, metric, kind, pct, round(n, 6) n, min(x) as value from c, p where upto >= greatest(pct * n - n * 1e-12, n * 1e-13) group by grp, metric, kind, pct, n""",
+        "p2_daily": _BUCKETS + "select day, grp, metric, kind, bucket, round(sum(w), 6) w from t group by all",
+        "p2_merged": f"""{_BUCKETS}, s as (select grp, metric, kind, bucket, sum(w) w from t group by all),
+            c as (select *, sum(w) over (partition by grp, metric, kind order by bucket) upto, sum(w) over (partition by grp, metric, kind) n from s), p(pct) as (values {_PCTS}),
+            h as (select grp, metric, kind, pct, n, min(bucket) bucket from c, p where upto >= greatest(pct * n - n * 1e-12, n * 1e-13) group by all)
+            select grp, metric, kind, pct, round(n, 6) n, {_LOWER} as "lower", {_UPPER} as "upper" from h""",
         "p5_found": _P5 + "select scalar_id, vector_id from n where r = 1",
         "p5_distances": _P5 + "select scalar_id, vector_id, distance_ms from n where r = 1",
     }
