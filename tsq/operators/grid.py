@@ -49,7 +49,10 @@ def regular_grid(readings: DataFrame, keys: list[str], *, time: str = "tp_ms", v
     until = F.when(F.col("goes_on"), F.greatest(F.col("next.slot") - F.col("step"), "slot")).otherwise(F.col("slot"))
     spans = runs.groupBy(*one, "run").agg(F.min("slot").alias("a"), F.max(until).alias("z"))
     sequence = spans.select(*one, F.explode(F.sequence("a", "z", "step")).alias("slot"))
-    slots = sequence.join(buckets.select(*one, "slot", F.struct("slot", "last", "x").alias("seen")), [*one, "slot"], "left")
+    # the left join, said by grouping: both sides lie by (keys, shard) already, which is enough for a group by all keys but not for a join by them, that would move both again
+    seen = F.struct("slot", "last", "x")
+    sides = sequence.select(*one, "slot", F.lit(True).alias("asked"), F.lit(None).cast(buckets.select(seen.alias("s")).schema["s"].dataType).alias("seen")).unionByName(buckets.select(*one, "slot", F.lit(False).alias("asked"), seen.alias("seen")))
+    slots = sides.groupBy(*one, "slot").agg(F.bool_or("asked").alias("asked"), F.max("seen").alias("seen")).where("asked")
     # a run begins with an observed slot, so nothing is carried from one run into the next
     slots = slots.withColumn("seen", F.last("seen", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     age = F.col("slot") - F.col("seen.last")
