@@ -687,7 +687,8 @@ class _Writer(DataSourceWriter):
         self.folder = options["path"].removeprefix("file://")
         self.version, self.packed = options.get("version", "2"), options.get("packed", "false").lower() == "true"
         os.makedirs(self.folder, exist_ok=True)
-        self.old = [os.path.join(self.folder, n) for n in os.listdir(self.folder)] if overwrite else []
+        # overwriting replaces the folder's history files and leaves others alone
+        self.old = [f for n in os.listdir(self.folder) if is_history(f := os.path.join(self.folder, n))] if overwrite else []
 
     def write(self, rows):
         scrapes: dict = {}
@@ -702,11 +703,12 @@ class _Writer(DataSourceWriter):
         return _Written(path)
 
     def commit(self, messages):
-        for p in self.old:
-            os.path.isfile(p) and os.remove(p)
+        # first the new files, then without the old ones: a failure in between loses neither
         for m in messages:
             if m and m.path:
                 os.replace(m.path + ".part", m.path)
+        for p in self.old:
+            os.path.isfile(p) and os.remove(p)
 
     def abort(self, messages):
         for m in messages:
