@@ -1,4 +1,5 @@
 import gzip
+from pathlib import Path
 
 import pytest
 
@@ -78,3 +79,32 @@ def test_data_source(spark, tmp_path, data, version):
     lo, hi = 1704200000000, 1704900000000
     part = spark.read.format("history").option("begin", lo).option("end", hi).load(folder)
     assert part.count() == s.where(f"tp_ms between {lo} and {hi}").count()
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}", "file://localhost{}"])
+def test_folders_by_path_and_by_uri(spark, tmp_path, form):
+    """Spark's own folders, such as that of the checkpoints, are named file:/folder."""
+    spark.dataSource.register(native.HistoryFiles)
+    folder = form.format(tmp_path / "a b")
+    s = spark.createDataFrame([(T0, ["g"], [], ["m"], native._mv(1.5))], native.SAMPLES_DDL)
+    s.write.format("history").mode("append").save(folder)
+    assert len(list((tmp_path / "a b").glob("*.tsd"))) == 1
+    assert spark.read.format("history").load(folder).count() == 1
+
+
+def test_other_file_systems_are_refused():
+    for folder in ("hdfs://node/h", "s3a://bucket/h", "file:relative", "file://node/h"):
+        with pytest.raises(ValueError):
+            native._Reader({"path": folder})
+
+
+@pytest.mark.parametrize("name", ["native_1"])
+def test_queries_write_beside_the_checkpoints(spark, data, monkeypatch, name):
+    """Whichever folder the driver and the workers run in."""
+    from tsq import platform_queries as pq
+
+    folders = []
+    monkeypatch.setattr(pq, "scratch", lambda s, n, f=pq.scratch: folders.append(f(s, n)) or folders[-1])
+    assert pq.queries()[name](spark, data).count()
+    (folder,) = folders
+    assert list(Path(folder.removeprefix("file:")).glob("*.tsd"))
