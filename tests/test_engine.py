@@ -123,3 +123,55 @@ def test_llm_is_optional_and_whole_library_imports():
 def test_parsed_trees_and_text_evaluate_alike(spark, text):
     s = samples(spark, [(t, g, {"h": t % 2}, "m", t) for t in range(6) for g in ("a", "b")])
     assert values(compiler.evaluate(s, text, slack=2)) == values(compiler.evaluate(s, ps.to_text(ps.parse(text)), slack=2))
+
+
+def _most_rows(df):
+    """The most rows that a step of the plan that ran puts out."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        n = p.metrics().get("numOutputRows")
+        most = max(most, n.get().value() if n.isDefined() else 0)
+    return most
+
+
+def test_aligned_sides_meet_before_they_are_filled_with_times(spark):
+    """100 series a side with a value at all of 4000 times; two of them meet, for a tenth of the time."""
+    end, rows = 4_000_000, []
+    for i in range(100):
+        rows += [(t, "g.l", {"x": i}, "m", float(t)) for t in (0, end)]
+        rows += [(t, "g.r", {"x": i + 99}, "m", 2.0 * t) for t in ((0, end) if i else (0, end // 10))]
+    rows += [(t, "g.l", {"x": -1}, "m", 1) for t in range(0, end, 1000)]
+    df = compiler.evaluate(samples(spark, rows), "g.l::m + g.r::m", slack=end)
+    got = df.select("tp_ms", F.col("tags")[0]["v"]["i"].alias("x"), va.as_double(F.col("value")).alias("v"))
+    rows = got.collect()
+    assert sorted((r.tp_ms, r.x, r.v) for r in rows) == [(t, 99, 3.0 * t) for t in range(0, end // 10 + 1, 1000)]
+    assert _most_rows(got) < 40_000
+
+
+def test_aligned_sides_of_all_kinds_match_brute_force(spark):
+    """Also under clauses by which several series of a side meet one of the other, and of values that can't be interpolated."""
+    import random
+
+    from tsq.plans.timedomain import align
+
+    r, slack = random.Random(5), 50
+    kinds = [lambda: (3, None, r.randrange(99), None, None, None, None), lambda: (4, None, None, None, r.random(), None, None), lambda: (5, None, None, None, None, r.choice("ab"), None), lambda: (1, r.random() < 0.5, None, None, None, None, None), lambda: (0, *[None] * 6), lambda: (6, None, None, None, None, None, [(0.0, 1.0, r.random())])]
+    rows = []
+    for g in ("l", "r"):
+        for x in range(3):
+            for y in range(2):
+                for t in r.sample(range(-300, 300), 25):
+                    rows.append((t, [g], [(k, (3, None, v, None, None, None, None)) for k, v in (("x", x), ("y", y))], ["m"], r.choice(kinds[: 2 if r.random() < 0.7 else 6])()))
+    s = spark.createDataFrame(rows, SAMPLES_DDL).cache()
+    side = {g: s.where(F.col("grp")[0] == g).select("tp_ms", "tags", "value") for g in ("l", "r")}
+    times = s.select("tp_ms").distinct()
+    l, q = (align(side[g], ["tags"], times, slack, all_times=True) for g in ("l", "r"))
+    for op, f in (("+", va.add), ("-", va.subtract), ("*", va.multiply), ("/", va.divide), ("=", va.equal)):
+        want = l.alias("l").join(q.alias("r"), (F.col("l.tp_ms") == F.col("r.tp_ms")) & (F.col("l.tags") == F.col("r.tags"))).select("l.tp_ms", "l.tags", f(F.col("l.value"), F.col("r.value")).alias("value"))
+        got = compiler.evaluate(s, f"l::m {op} r::m", slack=slack)
+        key = lambda df: sorted(str(tuple(x)) for x in df.collect())
+        assert key(got.select("tp_ms", "tags", "value")) == key(want) and want.count() > 300

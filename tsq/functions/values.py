@@ -332,19 +332,32 @@ BINARY = {
 UNARY = {"!": logical_not, "-": negate}
 
 
+#: Of those operators that give a double for any two doubles, what they do with them.
+DOUBLES = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b}
+
+
+def _weights(at: Column, t0: Column, t1: Column) -> tuple[Column, Column]:
+    span = (t1 - t0).cast("double")
+    return F.try_divide((t1 - at).cast("double"), span), F.try_divide((at - t0).cast("double"), span)
+
+
+def weighted(at: Column, t0: Column, d0: Column, t1: Column, d1: Column) -> Column:
+    """The double at a time strictly between t0 and t1, by linear weights."""
+    w0, w1 = _weights(at, t0, t1)
+    return d0 * w0 + d1 * w1
+
+
 def interpolate(at: Column, t0: Column, v0: Column, t1: Column, v1: Column) -> Column:
     """Value at a time strictly between t0 and t1, by linear weights: numbers give a double, equal booleans and equal texts themselves, histograms the weighted sum.
 
     An empty value on either side gives empty, other mixes absent.
     """
-    span = (t1 - t0).cast("double")
-    w1 = F.try_divide((at - t0).cast("double"), span)
-    w0 = F.try_divide((t1 - at).cast("double"), span)
+    w0, w1 = _weights(at, t0, t1)
     both = lambda k: (v0["kind"] == k) & (v1["kind"] == k)
     return (
         F.when(v0.isNull() | v1.isNull(), absent())
         .when((v0["kind"] == EMPTY) | (v1["kind"] == EMPTY), empty())
-        .when(is_number(v0) & is_number(v1), double(as_double(v0) * w0 + as_double(v1) * w1))
+        .when(is_number(v0) & is_number(v1), double(weighted(at, t0, as_double(v0), t1, as_double(v1))))
         .when(both(BOOL) & (v0["b"] == v1["b"]), v0)
         .when(both(STRING) & (v0["s"] == v1["s"]), v0)
         .when(both(HISTOGRAM), histogram(hg.add(hg.scale(v0["h"], w0), hg.scale(v1["h"], w1))))

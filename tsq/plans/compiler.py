@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tsq.functions import values as va
 from tsq.plans import folding, match
 from tsq.plans import parser as ps
-from tsq.plans.timedomain import TimeRange, align
+from tsq.plans.timedomain import TimeRange, align, meet
 from tsq.sources import samples as sm
 
 #: Slack of an evaluation that names none: five minutes.
@@ -78,7 +78,7 @@ class Compiler:
             return self.with_constant(y, lambda v: f(x.value, v), c)
         if isinstance(y, _Constant):
             return self.with_constant(x, lambda v: f(v, y.value), c)
-        return self.join(x, y, f, e.clause, c)
+        return self.join(x, y, f, e.clause, c, va.DOUBLES.get(e.op))
 
     @staticmethod
     def map(x, f: Callable[[Column], Column]):
@@ -99,9 +99,14 @@ class Compiler:
         # one row per key of the same clause, or of a finer one, can't collide
         return df if has == want or want.kind == "default" else match.collide(df, want)
 
-    def join(self, x, y, f, by: ps.Clause, c: ps.Clause):
-        """Output times are the union of both sides' times; a row needs both sides present."""
+    def join(self, x, y, f, by: ps.Clause, c: ps.Clause, doubles=None):
+        """Output times are the union of both sides' times; a row needs both sides present. doubles: what f does with two doubles."""
         xs, ys = isinstance(x, _Scalar), isinstance(y, _Scalar)
+        if self.slack > 0 and not self.time.interval and not xs and not ys:
+            a, b = (d.df.withColumn("mkey", match.key(by, F.col("tags"))) for d in (x, y))
+            union = x.df.select("tp_ms").unionByName(y.df.select("tp_ms")).distinct()
+            out = meet(a, b, union, self.slack, f, doubles, lambda x, y: match.result_tags(by, x, y))
+            return self.joined(out, by, c)
         if self.slack > 0 and not self.time.interval:
             union = x.df.select("tp_ms").unionByName(y.df.select("tp_ms")).distinct()
             xd = align(x.df, [] if xs else ["tags"], union, self.slack, all_times=True)
@@ -119,6 +124,9 @@ class Compiler:
         a, b = (d.withColumn("mkey", match.key(by, F.col("tags"))).alias(n) for d, n in ((xd, "x"), (yd, "y")))
         tags = match.result_tags(by, F.col("x.tags"), F.col("y.tags"))
         out = a.join(b, (F.col("x.tp_ms") == F.col("y.tp_ms")) & match.same("x.mkey", "y.mkey")).select("x.tp_ms", tags.alias("tags"), value.alias("value"))
+        return self.joined(out, by, c)
+
+    def joined(self, out: DataFrame, by: ps.Clause, c: ps.Clause) -> _Vector:
         # under the default clause results have the tags of both sides; else they may fall together
         return _Vector(self.wanted(out, by, c) if by.kind != "by" or by.keep in ("selected", "common") else match.collide(out, c), c)
 

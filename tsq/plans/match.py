@@ -33,8 +33,13 @@ def result_tags(c: Clause, left: Column, right: Column) -> Column:
 
 def same(x: str, y: str) -> Column:
     """Join condition that two keys (tag arrays) are equal: by their hashes, which are cheap to shuffle and sort, and then by themselves, in a form that isn't taken for a key of the join."""
+    return (F.xxhash64(F.col(x)) == F.xxhash64(F.col(y))) & same_keys(x, y)
+
+
+def same_keys(x: str, y: str) -> Column:
+    """The same of keys whose hashes are known to be equal."""
     a, b = F.col(x), F.col(y)
-    return (F.xxhash64(a) == F.xxhash64(b)) & (a <= b) & (a >= b)
+    return (a <= b) & (a >= b)
 
 
 def first_by_key(df: DataFrame, c: Clause, order: list[str]) -> DataFrame:
