@@ -1,4 +1,5 @@
 import gzip
+import time
 from pathlib import Path
 
 import pytest
@@ -98,7 +99,7 @@ def test_other_file_systems_are_refused():
             native._Reader({"path": folder})
 
 
-@pytest.mark.parametrize("name", ["native_1"])
+@pytest.mark.parametrize("name", ["native_1", "native_2_tables"])
 def test_queries_write_beside_the_checkpoints(spark, data, monkeypatch, name):
     """Whichever folder the driver and the workers run in."""
     from tsq import platform_queries as pq
@@ -108,3 +109,13 @@ def test_queries_write_beside_the_checkpoints(spark, data, monkeypatch, name):
     assert pq.queries()[name](spark, data).count()
     (folder,) = folders
     assert list(Path(folder.removeprefix("file:")).glob("*.tsd"))
+
+
+def test_a_series_of_a_table_costs_what_it_holds(tmp_path):
+    """Not a look at each of the block's times: 5000 series of a sample each, at 5000 times."""
+    n = 5000
+    scrapes = [(T0 + i, {(("g",), (("x", i),)): {("m",): 0.5 * i}}) for i in range(n)]
+    began = time.process_time()
+    (tmp_path / "f").write_bytes(native.encode(scrapes, "2t"))
+    assert list(native.read_file(str(tmp_path / "f"))) == scrapes
+    assert time.process_time() - began < 5
