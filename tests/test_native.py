@@ -99,7 +99,7 @@ def test_other_file_systems_are_refused():
             native._Reader({"path": folder})
 
 
-@pytest.mark.parametrize("name", ["native_1", "native_2_tables", "native_0", "native_2_list"])
+@pytest.mark.parametrize("name", ["native_1", "native_2_tables", "native_0", "native_2_list", "native_range"])
 def test_queries_write_beside_the_checkpoints(spark, data, monkeypatch, name):
     """Whichever folder the driver and the workers run in."""
     from tsq import platform_queries as pq

@@ -81,7 +81,9 @@ def _native_range(spark: SparkSession, d: str) -> DataFrame:
     """Files and scrapes by time, of the tables version."""
     spark.dataSource.register(HistoryFiles)
     folder = scratch(spark, "native")
-    sm.of_elements(spark, d).repartitionByRange(8, "tp_ms").write.format("history").mode("append").option("version", "2t").save(folder)
+    # a task holds its rows, so their number follows the session's
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sm.of_elements(spark, d).repartitionByRange(parts, "tp_ms").write.format("history").mode("append").option("version", "2t").save(folder)
     return _flat(spark.read.format("history").option("begin", str(BEGIN)).option("end", str(BEGIN + 4 * DAY)).load(folder))
 
 
