@@ -70,8 +70,9 @@ def _native(version: str, packed: bool = False) -> Query:
         spark.dataSource.register(HistoryFiles)
         folder = scratch(spark, "native")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        e = sm.of_elements(spark, d).repartitionByRange(parts, "tp_ms")
-        e.write.format("history").mode("append").option("version", version).option("packed", str(packed).lower()).save(folder)
+        # of a series' values at one time the greatest element_id counts, as in of_elements; the writer sees to that
+        e = sm.by_time(sm.elements(spark, d), table(spark, d, "collection_elements").select("tp_ms"), parts)
+        sm.with_lists(e).write.format("history").mode("append").option("version", version).option("packed", str(packed).lower()).option("latest", "element_id").save(folder)
         return _flat(spark.read.format("history").load(folder))
 
     return run

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tsq.functions import values as va
 from tsq.functions.names import ANY, PathMatcher, TagMatcher
 from tsq.plans.timedomain import TimeRange, align
-from tsq.schema import SAMPLES_DDL, TAGS_DDL
+from tsq.schema import HISTOGRAM_DDL, SAMPLES_DDL, TAGS_DDL
 from tsq.sources.tables import table
 
 SERIES = ["grp", "tags", "metric"]
@@ -229,8 +229,40 @@ def of_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return wide_lineitem(spark, d).samples()
 
 
-def of_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of collection_elements: elements with a time, a group, a metric and a present value; of a series' values at one time the greatest element_id counts."""
+def elements(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of collection_elements that have a time, a group, a metric and a present value, as samples with their element_id."""
     e = table(spark, d, "collection_elements").where("tp_ms is not null and grp is not null and metric is not null and value is not null")
     tags = F.coalesce("tags", F.array().cast(TAGS_DDL))
-    return last_wins(e.select("tp_ms", "grp", canonical_tags(tags).alias("tags"), "metric", "value", "element_id"), "element_id")
+    return e.select("tp_ms", "grp", canonical_tags(tags).alias("tags"), "metric", "value", "element_id")
+
+
+def of_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of collection_elements: elements with a time, a group, a metric and a present value; of a series' values at one time the greatest element_id counts."""
+    return last_wins(elements(spark, d), "element_id")
+
+
+def by_time(samples: DataFrame, times: DataFrame, parts: int) -> DataFrame:
+    """samples in parts by ranges of time that hold about as many of the times (tp_ms) each. Rows move once, and those of a series together, so that they pack well."""
+    q = times.agg(F.percentile_approx("tp_ms", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    cuts = sorted(set(q or []))
+
+    def part(low: int, high: int) -> Column:
+        """How many cuts are at or before a time, if between low and high of them are."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("tp_ms") < cuts[mid], part(low, mid)).otherwise(part(mid + 1, high))
+
+    return samples.sortWithinPartitions(_hash()).repartitionById(parts, part(0, len(cuts)))
+
+
+def with_lists(samples: DataFrame) -> DataFrame:
+    """samples whose values have an empty list of ranges instead of none where they are no histograms, for what goes to Python workers: for each row Spark's Arrow writer
+    looks again at all rows since the last list that isn't null.
+    """
+
+    def full(v: Column) -> Column:
+        fields = [F.coalesce(v[c], F.array().cast(HISTOGRAM_DDL)).alias(c) if c == "h" else v[c].alias(c) for c in ("kind", "b", "i", "u", "d", "s", "h")]
+        return F.when(v.isNotNull(), F.struct(*fields))
+
+    return samples.withColumns({"tags": F.transform("tags", lambda t: F.struct(t.k.alias("k"), full(t.v).alias("v"))), "value": full(F.col("value"))})
