@@ -15,7 +15,7 @@ VALUES = [None, True, False, 0, 1, -1, -(1 << 63), (1 << 63) - 1, 0.5, -0.0, flo
 PATHS = [(), ("",), ("a",), ("a", "b"), ("ab",), ("", "")]
 TAGS = [(), (("a", 1),), (("a", True),), (("a", "x"), ("b", 2.5)), (("b", None),), (("c", ((1.0, 2.0, 3.0),)),)]
 FIELDS = ("kind", "b", "i", "u", "d", "s", "h")
-VERSIONS = ["0"]
+VERSIONS = ["0", "2"]
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,7 @@ def test_batches_to_a_file_and_back(tmp_path, schema, version, n, times):
         rows.append({"tp_ms": t, "grp": g, "tags": [{"k": k, "v": mv(x)} for k, x in rnd.sample(tags, len(tags))], "metric": m, "value": mv(v)})
         want[t, g, repr(tags), m] = native._mv(v)[0], repr(v)
     s = nc.collect(pa.Table.from_pylist(rows, schema).to_batches(101), version == "0")
-    (tmp_path / "f").write_bytes({"0": nc.encode0, "2": getattr(nc, "encode2", None)}[version](s))
+    (tmp_path / "f").write_bytes({"0": nc.encode0, "2": nc.encode2}[version](s))
     assert read(tmp_path / "f", schema) == want
     assert native.bounds(str(tmp_path / "f")) == (min(times := [k[0] for k in want]), max(times))
     assert read(tmp_path / "f", schema, times[0], times[0]) == {k: v for k, v in want.items() if k[0] == times[0]}
@@ -91,7 +91,7 @@ def test_damage_is_noticed(tmp_path, schema, version):
         read(tmp_path / "f", schema)
 
 
-@pytest.mark.parametrize("name", ["native_0"])
+@pytest.mark.parametrize("name", ["native_0", "native_2_list"])
 def test_rows_move_once_and_packed(spark, data, name):
     """The files take most of the disk that a query may use, so shuffles mustn't: 5 times the input is too much."""
     from tsq import platform_queries as pq
@@ -111,3 +111,13 @@ def test_parts_by_time(spark):
     assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
     assert sm.by_time(s.limit(0), s.limit(0), 4).count() == 0 and sm.by_time(s, s, 1).count() == len(rows)
     assert sm.with_lists(s).where("value.h is null").count() == 0 and sm.with_lists(s).count() == len(rows)
+
+
+def test_a_list_by_columns(tmp_path, schema):
+    """Its samples are read in batches: 20 000 scrapes of two samples each."""
+    scrapes = [(k, {(("g",), (("host", f"h{k % 50}"),)): {("m",): 0.5 * k, ("n",): "text"}}) for k in range(20_000)]
+    (tmp_path / "f").write_bytes(native.encode(scrapes, "2"))
+    batches = list(nc.read_batches(str(tmp_path / "f"), schema, None, None))
+    assert sum(b.num_rows for b in batches) == 40_000 and max(b.num_rows for b in batches) == nc.BATCH
+    (tmp_path / "g").write_bytes(nc.encode2(nc.collect(batches, False)))
+    assert list(native.read_file(str(tmp_path / "g"))) == scrapes
